@@ -1,3 +1,4 @@
 """Import every catalog module so that all queries are registered."""
 
 from pairlab.catalog import prep_q  # noqa: F401
+from pairlab.catalog import metrics_q  # noqa: F401

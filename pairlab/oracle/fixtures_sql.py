@@ -115,6 +115,20 @@ responses AS (
 }
 
 
+def _long_share(t: str) -> str:
+    return f"(CASE WHEN len({t}) > 0 THEN CAST(len(list_filter({t}, lambda w: length(w) > 6)) AS DOUBLE) / CAST(len({t}) AS DOUBLE) END)"
+
+
+CTES["scored"] = (("variants",), f"""scored AS (
+  SELECT * FROM (
+    SELECT sid * 11 + v AS row_id, sid, 0 AS label, {gulpease_sql('simp_tokens')} AS y, {_long_share('simp_tokens')} AS pred,
+      CASE WHEN {bucket("concat('cal:', sid)")} < 50 THEN 'val' ELSE 'test' END AS split FROM variants
+    UNION ALL
+    SELECT sid * 11 + 10 AS row_id, sid, 1 AS label, {gulpease_sql('tokens')} AS y, {_long_share('tokens')} AS pred,
+      CASE WHEN {bucket("concat('cal:', sid)")} < 50 THEN 'val' ELSE 'test' END AS split FROM sents)
+  WHERE y IS NOT NULL)""")
+
+
 def with_fixtures(names: list[str], body: str, extra: list[str] = ()) -> str:
     """Prefix ``body`` with the CTEs of ``names`` (and dependencies), then ``extra`` CTEs."""
     order: list[str] = []

@@ -144,3 +144,28 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("form") == 4, F.lit("   "))
             .otherwise(F.lit("Non so rispondere.")))
     return s.select(F.col("sid").alias("id"), "n", resp.alias("response"))
+
+
+def long_share(tokens: Column) -> Column:
+    return F.when(F.size(tokens) > 0,
+                  F.size(F.filter(tokens, lambda t: F.length(t) > 6)).cast("double") / F.size(tokens))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored sentences for evaluation metrics: every original (label 1, complex)
+    and every simplification (label 0) with its true complexity ``y`` and a cheap
+    predictor ``pred`` (share of long words); split val/test by sid hash.
+
+    row_id, sid, label, y, pred, split
+    """
+    s = sents(spark, sf_dir)
+    x = s.select("sid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(N_VARIANTS))).alias("v"))
+    toks = F.when(F.col("v") == N_VARIANTS, F.col("tokens")).otherwise(
+        simplify_tokens(F.col("tokens"), F.col("sid"), F.col("v")))
+    x = x.select("sid", "v", toks.alias("t"))
+    return x.select(
+        (F.col("sid") * (N_VARIANTS + 1) + F.col("v")).alias("row_id"), "sid",
+        (F.col("v") == N_VARIANTS).cast("int").alias("label"),
+        gulpease_complexity("t").alias("y"), long_share(F.col("t")).alias("pred"),
+        F.when(md5_bucket("cal:", F.col("sid")) < 50, F.lit("val")).otherwise(F.lit("test")).alias("split"),
+    ).where(F.col("y").isNotNull())
