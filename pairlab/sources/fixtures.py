@@ -169,3 +169,23 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         gulpease_complexity("t").alias("y"), long_share(F.col("t")).alias("pred"),
         F.when(md5_bucket("cal:", F.col("sid")) < 50, F.lit("val")).otherwise(F.lit("test")).alias("split"),
     ).where(F.col("y").isNotNull())
+
+
+def pos_of(lemma: Column) -> Column:
+    """Fixture tagger: POS of a lemma from its hash; non-words are PUNCT."""
+    tag = F.element_at(F.array(*[F.lit(p) for p in POS_TAGS]),
+                       (md5_bucket("pos:", lemma, mod=len(POS_TAGS)) + 1).cast("int"))
+    return F.when(lemma.rlike(r"^\p{L}+$"), tag).otherwise(F.lit("PUNCT"))
+
+
+def dep_of(lemma: Column) -> Column:
+    """Fixture parser: dependency relation of a lemma from its hash; non-words are punct."""
+    tag = F.element_at(F.array(*[F.lit(d) for d in DEP_TAGS]),
+                       (md5_bucket("dep:", lemma, mod=len(DEP_TAGS)) + 1).cast("int"))
+    return F.when(lemma.rlike(r"^\p{L}+$"), tag).otherwise(F.lit("punct"))
+
+
+def stub_generate(text: Column, key: Column) -> Column:
+    """Stub generator output: the v = 9 fixture simplification of the input tokens."""
+    from pairlab.functions.text import tokenize as _tok
+    return join_tokens(simplify_tokens(_tok(text), key, F.lit(N_VARIANTS - 1)))
