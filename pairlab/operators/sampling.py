@@ -130,12 +130,16 @@ def group_kfold(df: DataFrame, key: str, n_folds: int = 5, seed: str = "fold") -
 
 
 def stratified_sample(df: DataFrame, stratum: str, row_key: str, n: int, seed: str = "42") -> DataFrame:
-    """N rows keeping class shares. Stratum s gets round(n * n_s / N) rows,
-    rows inside a stratum in md5 order. Ranks come from ``global_hash_rank``
-    per stratum, so a dominant class is still ranked by many tasks."""
+    """N rows keeping class shares. Stratum s gets floor(n * n_s / N) rows and
+    the remaining rows go to the strata with the largest fractional parts (lower
+    stratum first on ties); rows inside a stratum in md5 order. Ranks come from
+    ``global_hash_rank`` per stratum, so a dominant class is ranked by many tasks."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_ns"))   # one row per class
-    total = F.sum("_ns").over(Window.partitionBy())
-    alloc = counts.select(stratum, F.least(F.col("_ns"), F.round(F.lit(float(n)) * F.col("_ns") / total).cast("long")).alias("_take"))
+    exact = F.lit(float(n)) * F.col("_ns") / F.sum("_ns").over(Window.partitionBy())
+    c = counts.withColumn("_ex", exact).withColumn("_fl", F.floor("_ex"))
+    rem = F.lit(n) - F.sum("_fl").over(Window.partitionBy())
+    extra = (F.row_number().over(Window.orderBy(F.desc(F.col("_ex") - F.col("_fl")), F.asc(stratum))) <= rem).cast("long")
+    alloc = c.select(stratum, F.least(F.col("_ns"), F.col("_fl") + extra).alias("_take"))
     r = global_hash_rank(df.select(stratum, row_key), row_key, seed, by=[stratum], rank_col="_rn")
     keep = r.join(F.broadcast(alloc), stratum).where(F.col("_rn") <= F.col("_take")).select(stratum, row_key)
     return df.join(keep, [stratum, row_key], "left_semi")

@@ -1,33 +1,60 @@
 """L1: leakage-free labelled sentence table from a raw pair table.
 
-sample ids (E3) -> semi join (C1) -> gain filter (B4) -> originals (E1) and one
-random simplification per id (E2) -> melt (B2/F1) -> coerce and clean (B5-B7)
--> exact group split (E4). One lazy plan; the split is assigned per id and
-joined back, so train/val/test never share an id.
+sample ids (E3) -> semi join (C1) -> gain filter (B4) -> per id, in ONE hash
+aggregation: the original (E1, first row by idx) and k=1 random simplification
+(E2, md5 order) -> clean (B5-B7) -> exact group split on the per-id table
+(E4) -> melt to one row per sentence (B2/F1) by exploding a 2-element array.
+
+Shuffles: distinct ids + their hash-range rank (E3), the per-id aggregation,
+the per-id rank (E4). The split is assigned before melting, so no join back is
+needed and train/val/test can never share an id.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlab.functions.hashing import md5_order
 from pairlab.operators import prep, sampling
 
 ID = "original_sentence_idx"
 
 
 def prepare_sentences(pairs: DataFrame, n_sample: int = 40_000, delta: float = 0.05, k: int = 1,
-                      seed: str = "42", with_features: bool = False) -> DataFrame:
+                      seed: str = "42", with_features: bool = False, persist: bool = False) -> DataFrame:
     """Returns original_sentence_idx, text, score (float), is_original, split [, features]."""
     sampled = sampling.sample_ids(pairs.select(ID), ID, n_sample, seed)
     p = sampling.semi_join_ids(pairs, sampled, ID, size_bound=n_sample)
     p = prep.gain_filter(p, delta)
     feats = prep.shared_features(p) if with_features else []
+    if k != 1:
+        return _prepare_general(p, k, seed, feats)
+    o_fields = [F.col("original_text").alias("text"), F.col("original_all").alias("score")] + \
+        [F.col(f"{f}_original").alias(f) for f in feats]
+    s_fields = [F.col("simplification").alias("text"), F.col("simplification_all").alias("score")] + \
+        [F.col(f"{f}_simplification").alias(f) for f in feats]
+    per_id = p.groupBy(ID).agg(
+        F.min_by(F.struct(*o_fields), F.col("idx")).alias("o"),
+        F.min_by(F.struct(*s_fields), F.struct(md5_order(seed, ":", F.col("idx")), F.col("idx"))).alias("s"))
+    long = per_id.select(ID, F.explode(F.array(
+        F.struct(F.lit(True).alias("is_original"), F.col("o.*")),
+        F.struct(F.lit(False).alias("is_original"), F.col("s.*")))).alias("r")).select(ID, "r.*")
+    return _finish(long, feats, persist)
+
+
+def _prepare_general(p: DataFrame, k: int, seed: str, feats: list[str]) -> DataFrame:
     originals = sampling.first_per_group(p, ID, "idx")
     simplifications = sampling.cap_per_group(p, ID, "idx", k, seed)
-    long = prep.melt_pairs(p, originals, simplifications, feats)
+    return _finish(prep.melt_pairs(p, originals, simplifications, feats), feats, False)
+
+
+def _finish(long: DataFrame, feats: list[str], persist: bool) -> DataFrame:
     long = prep.coerce_numeric(long, feats)
     long = long.withColumn("score", F.col("score").cast("float"))
-    long = prep.drop_invalid(long)
+    long = prep.drop_invalid(long).select(ID, "text", "score", "is_original", *feats)
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)   # read by the split rank jobs and the final join
     split = sampling.group_split(long.select(ID), ID)
-    return long.join(split, ID)
+    out = long.join(split, ID)
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
