@@ -4,3 +4,4 @@ from pairlab.catalog import prep_q  # noqa: F401
 from pairlab.catalog import metrics_q  # noqa: F401
 from pairlab.catalog import explain_q  # noqa: F401
 from pairlab.catalog import gating_q  # noqa: F401
+from pairlab.catalog import parse_q  # noqa: F401

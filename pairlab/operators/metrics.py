@@ -32,7 +32,9 @@ def score_cdf(df: DataFrame, score: str, label: str | None = None,
             .agg(F.count(F.lit(1)).alias("cnt"), pos_expr.alias("pos"))
             .persist(StorageLevel.MEMORY_AND_DISK))   # read by the boundary sketch and the main job
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = dist.approxQuantile("_s", probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    # bounded sketch of the distinct values; a plain aggregate, so it also fills the cache of ``dist``
+    row = dist.agg(F.percentile_approx("_s", probs, 4 * n_buckets).alias("b")).first() if n_buckets > 1 else None
+    bounds = list(row["b"] or []) if row is not None else []
     splits = [float("-inf")] + sorted(set(b for b in bounds if b == b)) + [float("inf")]
     b = Bucketizer(splits=splits, inputCol="_s", outputCol="_rb", handleInvalid="keep").transform(dist)
     tot = b.groupBy("_rb").agg(F.sum("cnt").alias("_bc"), F.sum("pos").alias("_bp"))

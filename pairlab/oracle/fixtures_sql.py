@@ -40,19 +40,38 @@ def _features_sql(t: str) -> dict[str, str]:
 
 FEATURES = ("n_tokens", "char_per_tok", "ttr", "punct_share", "long_share")
 
-_SIMP = f"""list_filter(list_transform(tokens, lambda t, i: CASE
-            WHEN {bucket("concat(v, ':', sid, ':', i - 1)")} < 5 + 3 * v THEN NULL
-            WHEN length(t) > 6 AND {bucket("concat('s', v, ':', sid, ':', i - 1)")} < 20 THEN reverse(t)
-            ELSE t END), lambda x: x IS NOT NULL)"""
+def hex_threshold(share: float) -> str:
+    return format(min(4095, round(4096 * share)), "03x")
+
+
+DROP_HEX = "[" + ", ".join(f"'{hex_threshold((5 + 3 * v) / 100)}'" for v in range(10)) + "]"
+REVERSE_HEX = hex_threshold(0.20)
+
+
+def token_hashes_sql(tokens: str, key: str) -> str:
+    return (f"list_transform({tokens}, lambda t, i: md5(concat('a:', {key}, ':', i - 1)) || "
+            f"md5(concat('b:', {key}, ':', i - 1)))")
+
+
+def simplify_sql(tokens: str, hashes: str, v: str) -> str:
+    return (f"list_filter(list_transform({tokens}, lambda t, i: CASE "
+            f"WHEN substr({hashes}[i], {v} * 6 + 1, 3) < {DROP_HEX}[{v} + 1] THEN NULL "
+            f"WHEN length(t) > 6 AND substr({hashes}[i], {v} * 6 + 4, 3) < '{REVERSE_HEX}' THEN reverse(t) "
+            f"ELSE t END), lambda x: x IS NOT NULL)")
+
+
+_SIMP = simplify_sql("tokens", "hs", "v")
 
 
 def _profile_cols() -> str:
     out = []
+    slot = 0
     for side, t in (("original", "tokens"), ("simplification", "simp_tokens")):
         feats = _features_sql(t)
         for f in FEATURES:
-            na = bucket(f"concat('na:', sid * 10 + v, '{f}', '{side}')")
-            out.append(f"CASE WHEN {na} < 3 THEN 'n/a' ELSE CAST(round({feats[f]}, 6) AS VARCHAR) END AS {f}_{side}")
+            na = f"substr(md5(concat('na:', sid * 10 + v)), {2 * slot + 1}, 2) < '08'"
+            slot += 1
+            out.append(f"CASE WHEN {na} THEN 'n/a' ELSE CAST(round({feats[f]}, 6) AS VARCHAR) END AS {f}_{side}")
     return ",\n    ".join(out)
 
 
@@ -65,7 +84,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   WHERE len(tokens) BETWEEN 6 AND 40)"""),
     "variants": (("sents",), f"""variants AS (
   SELECT sid, v, tokens, {_SIMP} AS simp_tokens
-  FROM (SELECT sid, tokens, unnest(generate_series(0, 9)) AS v FROM sents))"""),
+  FROM (SELECT sid, tokens, hs, unnest(generate_series(0, 9)) AS v
+        FROM (SELECT sid, tokens, """ + token_hashes_sql("tokens", "sid") + """ AS hs FROM sents)))"""),
     "impacts": (("variants",), f"""impacts AS (
   SELECT sid * 10 + v AS idx, sid AS original_sentence_idx,
     array_to_string(tokens, ' ') AS original_text, array_to_string(simp_tokens, ' ') AS simplification,

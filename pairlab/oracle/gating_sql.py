@@ -24,11 +24,9 @@ def overlap_sql(a: str, b: str) -> str:
 
 
 def stub_sql(text: str, key: str) -> str:
+    from pairlab.oracle.fixtures_sql import simplify_sql, token_hashes_sql
     t = f"regexp_extract_all({text}, {TOKEN_RE})"
-    return (f"array_to_string(list_filter(list_transform({t}, lambda t, i: CASE "
-            f"WHEN {bucket(f'concat(9, chr(58), {key}, chr(58), i - 1)')} < 32 THEN NULL "
-            f"WHEN length(t) > 6 AND {bucket(f'concat(chr(115), 9, chr(58), {key}, chr(58), i - 1)')} < 20 THEN reverse(t) "
-            f"ELSE t END), lambda x: x IS NOT NULL), ' ')")
+    return f"array_to_string({simplify_sql(t, token_hashes_sql(t, key), '9')}, ' ')"
 
 
 def grams_sql(t: str, n: int) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.functions.hashing import md5_bucket
+from pairlab.functions.hashing import md5_bucket, md5_of
 from pairlab.functions.text import (gulpease_complexity, join_tokens, split_sentences,
                                     tokenize)
 from pairlab.sources.tables import read_table, spread
@@ -22,6 +22,7 @@ SID_STRIDE = 1_000_000          # sid = doc_id * SID_STRIDE + sentence position
 MIN_TOKENS, MAX_TOKENS = 6, 40  # sentence length window
 N_VARIANTS = 10                 # simplifications per original
 FEATURES = ("n_tokens", "char_per_tok", "ttr", "punct_share", "long_share")
+NA_HEX = "08"                   # 2 hex digits below "08": about 3 % of feature values are "n/a"
 POS_TAGS = ("NOUN", "VERB", "ADJ", "ADV", "DET")
 DEP_TAGS = ("advcl", "acl", "nsubj:pass", "aux:pass", "obj", "root")
 LEXICON_SIZE = 200
@@ -37,15 +38,41 @@ def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.size("tokens").between(MIN_TOKENS, MAX_TOKENS)))
 
 
-def simplify_tokens(tokens: Column, sid: Column, v: Column) -> Column:
-    """Deterministic 'simplification' v of a token list: drop, reverse or keep."""
+def hex_threshold(share: float) -> str:
+    """3-hex-digit string t with P(uniform 3-digit hex < t) ~= share."""
+    return format(min(4095, round(4096 * share)), "03x")
+
+
+# Variant v drops a token when hex digits [6v, 6v+3) of the token
+# hash are below DROP_HEX[v] (share 5 + 3v percent) and reverses a long token
+# when digits [6v+3, 6v+6) are below REVERSE_HEX (share 20 percent).
+DROP_HEX = tuple(hex_threshold((5 + 3 * v) / 100) for v in range(N_VARIANTS))
+REVERSE_HEX = hex_threshold(0.20)
+
+
+def token_hashes(tokens: Column, key: Column) -> Column:
+    """64 hex digits per token position: md5('a:key:i') || md5('b:key:i')."""
+    return F.transform(tokens, lambda t, i: F.concat(md5_of("a:", key, ":", i), md5_of("b:", key, ":", i)))
+
+
+def simplify_with_hashes(tokens: Column, hashes: Column, v: int | Column) -> Column:
+    """Deterministic 'simplification' v of a token list: drop, reverse or keep.
+    Decisions compare slices of the precomputed token hashes as strings."""
+    v = F.lit(v) if isinstance(v, int) else v
+    drop_t = F.element_at(F.array(*[F.lit(x) for x in DROP_HEX]), v + 1)
+
     def one(t, i):
-        dropped = md5_bucket(v, ":", sid, ":", i) < (F.lit(5) + F.lit(3) * v)
-        reversed_ = (F.length(t) > 6) & (md5_bucket("s", v, ":", sid, ":", i) < 20)
+        h = F.element_at(hashes, i + 1)
+        dropped = F.substring(h, v * 6 + 1, 3) < drop_t
+        reversed_ = (F.length(t) > 6) & (F.substring(h, v * 6 + 4, 3) < F.lit(REVERSE_HEX))
         return F.when(dropped, F.lit(None).cast("string")).when(reversed_, F.reverse(t)).otherwise(t)
     return F.filter(F.transform(tokens, one), lambda x: x.isNotNull())
 
 
+def simplify_tokens(tokens: Column, key: Column, v: int | Column) -> Column:
+    return simplify_with_hashes(tokens, token_hashes(tokens, key), v)
+
+
 def _features(tokens: Column) -> dict[str, Column]:
     n = F.size(tokens).cast("double")
     nz = F.size(tokens) > 0
@@ -69,8 +96,9 @@ def impacts(spark: SparkSession, sf_dir: str, with_profile: bool = False) -> Dat
     simplification_all [, <feature>_original, <feature>_simplification as strings].
     """
     s = sents(spark, sf_dir)
-    x = s.select("sid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(N_VARIANTS - 1))).alias("v"))
-    x = x.withColumn("simp_tokens", simplify_tokens(F.col("tokens"), F.col("sid"), F.col("v")))
+    s = s.withColumn("hs", token_hashes(F.col("tokens"), F.col("sid")))
+    x = s.select("sid", "tokens", "hs", F.explode(F.sequence(F.lit(0), F.lit(N_VARIANTS - 1))).alias("v"))
+    x = x.withColumn("simp_tokens", simplify_with_hashes(F.col("tokens"), F.col("hs"), F.col("v")))
     cols = [
         (F.col("sid") * N_VARIANTS + F.col("v")).alias("idx"),
         F.col("sid").alias("original_sentence_idx"),
@@ -81,11 +109,14 @@ def impacts(spark: SparkSession, sf_dir: str, with_profile: bool = False) -> Dat
     ]
     if with_profile:
         idx = F.col("sid") * N_VARIANTS + F.col("v")
+        nah = md5_of("na:", idx)
+        slot = 0
         for side, toks in (("original", F.col("tokens")), ("simplification", F.col("simp_tokens"))):
             feats = _features(toks)
             for f in FEATURES:
                 val = F.round(feats[f], 6).cast("string")
-                na = md5_bucket("na:", idx, f, side) < 3
+                na = F.substring(nah, 2 * slot + 1, 2) < F.lit(NA_HEX)
+                slot += 1
                 cols.append(F.when(na, F.lit("n/a")).otherwise(val).alias(f"{f}_{side}"))
     return x.select(*cols)
 
@@ -159,9 +190,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     row_id, sid, label, y, pred, split
     """
     s = sents(spark, sf_dir)
-    x = s.select("sid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(N_VARIANTS))).alias("v"))
+    s = s.withColumn("hs", token_hashes(F.col("tokens"), F.col("sid")))
+    x = s.select("sid", "tokens", "hs", F.explode(F.sequence(F.lit(0), F.lit(N_VARIANTS))).alias("v"))
     toks = F.when(F.col("v") == N_VARIANTS, F.col("tokens")).otherwise(
-        simplify_tokens(F.col("tokens"), F.col("sid"), F.col("v")))
+        simplify_with_hashes(F.col("tokens"), F.col("hs"), F.col("v")))
     x = x.select("sid", "v", toks.alias("t"))
     return x.select(
         (F.col("sid") * (N_VARIANTS + 1) + F.col("v")).alias("row_id"), "sid",
