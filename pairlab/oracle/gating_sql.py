@@ -121,7 +121,7 @@ quad AS (SELECT *, CASE WHEN true_label = 1 AND pred_gate = 1 THEN 'TP' WHEN tru
   WHEN true_label = 0 AND pred_gate = 0 THEN 'TN' ELSE 'FP' END AS quadrante FROM gated)"""
 
 
-ROUTED = f"""gen AS (SELECT *, {stub_sql('input_text', 'gid')} AS anita_output FROM quad),
+ROUTED = f"""gen AS (SELECT *, {stub_sql('input_text', 'input_text')} AS anita_output FROM quad),
 clean AS (SELECT *, {overlap_sql('input_text', 'gold_text')} AS ov FROM gen),
 routed AS (SELECT *, anita_output AS out_A, CASE WHEN pred_gate = 1 THEN anita_output ELSE input_text END AS out_B
   FROM clean WHERE ov >= 0.2::DOUBLE),

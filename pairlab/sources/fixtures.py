@@ -221,3 +221,36 @@ def stub_generate(text: Column, key: Column) -> Column:
     """Stub generator output: the v = 9 fixture simplification of the input tokens."""
     from pairlab.functions.text import tokenize as _tok
     return join_tokens(simplify_tokens(_tok(text), key, F.lit(N_VARIANTS - 1)))
+
+
+def stub_generator_factory():
+    """Python form of ``stub_generate`` keyed by the text itself, for the
+    pluggable batch generator (I1): list[str] -> list[str]."""
+    import hashlib
+
+    import regex
+
+    tok = regex.compile(r"\p{L}+|[^\s\p{L}]")
+    v = N_VARIANTS - 1
+    drop_t = DROP_HEX[v]
+
+    def md5(s: str) -> str:
+        return hashlib.md5(s.encode("utf-8")).hexdigest()
+
+    def gen(texts: list[str]) -> list[str]:
+        out = []
+        for t in texts:
+            if t is None:
+                out.append("")
+                continue
+            kept = []
+            for i, w in enumerate(tok.findall(t)):
+                h = md5(f"a:{t}:{i}") + md5(f"b:{t}:{i}")
+                if h[6 * v:6 * v + 3] < drop_t:
+                    continue
+                if len(w) > 6 and h[6 * v + 3:6 * v + 6] < REVERSE_HEX:
+                    w = w[::-1]
+                kept.append(w)
+            out.append(" ".join(kept))
+        return out
+    return gen
