@@ -6,3 +6,4 @@ from pairlab.catalog import explain_q  # noqa: F401
 from pairlab.catalog import gating_q  # noqa: F401
 from pairlab.catalog import parse_q  # noqa: F401
 from pairlab.catalog import io_q  # noqa: F401
+from pairlab.catalog import profile_q  # noqa: F401
