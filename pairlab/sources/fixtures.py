@@ -59,7 +59,7 @@ def simplify_with_hashes(tokens: Column, hashes: Column, v: int | Column) -> Col
     """Deterministic 'simplification' v of a token list: drop, reverse or keep.
     Decisions compare slices of the precomputed token hashes as strings."""
     v = F.lit(v) if isinstance(v, int) else v
-    drop_t = F.element_at(F.array(*[F.lit(x) for x in DROP_HEX]), v + 1)
+    drop_t = F.try_element_at(F.array(*[F.lit(x) for x in DROP_HEX]), v + 1)
 
     def one(t, i):
         h = F.element_at(hashes, i + 1)
@@ -254,3 +254,17 @@ def stub_generator_factory():
             out.append(" ".join(kept))
         return out
     return gen
+
+
+def subword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword attribution fixture: every token cut into pieces of up to 4
+    characters (word_id = token position) plus two special pieces per sentence
+    with a null word id. idx, piece_pos, word_id, attribution."""
+    t = sents(spark, sf_dir).select(F.col("sid").alias("idx"), F.posexplode("tokens").alias("i", "token"))
+    p = t.select("idx", "i", F.posexplode(F.sequence(F.lit(0), F.ceil(F.length("token") / 4.0).cast("int") - 1)).alias("k", "_k"))
+    pieces = p.select("idx", (F.col("i") * 10 + F.col("k") + 1).alias("piece_pos"), F.col("i").alias("word_id"),
+                      (md5_bucket("sw:", F.col("idx"), ":", F.col("i"), ":", F.col("k")) - 50).cast("double").alias("attribution"))
+    specials = sents(spark, sf_dir).select(F.col("sid").alias("idx"), F.explode(F.array(F.lit(0), F.lit(-1))).alias("piece_pos")) \
+        .select("idx", "piece_pos", F.lit(None).cast("int").alias("word_id"),
+                (md5_bucket("sp:", F.col("idx"), ":", F.col("piece_pos")) - 50).cast("double").alias("attribution"))
+    return pieces.unionByName(specials)
