@@ -15,7 +15,7 @@ from pairlab.sources import fixtures
 _BASE = [_SAMPLED, _LONG, _split_sql("long"), PAIRS, EV]
 
 
-def _sql(body: str, extra: list[str] = (), fx: tuple[str, ...] = ("impacts",)) -> str:
+def _sql(body: str, extra: list[str] = (), fx: tuple[str, ...] = ("pair_rows",)) -> str:
     return with_fixtures(list(fx), body, _BASE + list(extra))
 
 
@@ -42,7 +42,7 @@ def methods(spark, sf_dir, ev, with_trunc: bool = False):
 
 
 _METHODS_SQL = [random_pred(0.3), LEXICON_PRED, top_fraction_pred(0.5, "attribution")]
-_FX = ("impacts", "lexicon", "tok_scores")
+_FX = ("pair_rows", "lexicon", "tok_scores")
 
 
 def _arr(c: str) -> str:
@@ -131,7 +131,7 @@ _EXPL_SQL = f"""ex AS (SELECT idx, i - 1 AS i, tokens[i] AS token, tipo[i] AS op
 
 
 @register("g25_explain_tokens", _sql("SELECT idx, CAST(i AS BIGINT) AS i, token, operazione, motivo FROM ex",
-                                     [_EXPL_SQL], ("impacts", "lexicon")))
+                                     [_EXPL_SQL], ("pair_rows", "lexicon")))
 def g25_explain_tokens(spark, sf_dir):
     """Reason of every silver-positive token."""
     ev = eval_set(spark, sf_dir)
@@ -139,7 +139,7 @@ def g25_explain_tokens(spark, sf_dir):
 
 
 @register("d25_reason_counts", _sql("SELECT motivo, CAST(count(*) AS BIGINT) AS n FROM ex WHERE motivo <> 'altro' GROUP BY motivo",
-                                    [_EXPL_SQL], ("impacts", "lexicon")))
+                                    [_EXPL_SQL], ("pair_rows", "lexicon")))
 def d25_reason_counts(spark, sf_dir):
     """Reason frequencies without "altro"."""
     ev = eval_set(spark, sf_dir)
@@ -157,7 +157,7 @@ SELECT idx, CAST(min(i) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n_token
 FROM (SELECT idx, i - 1 AS i, tokens[i] AS token, dep[i] AS dep, list_contains((SELECT list(lemma) FROM lexicon), lemmas[i]) AS inlex,
         i - row_number() OVER (PARTITION BY idx ORDER BY i) AS span
       FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM ev) WHERE silver[i] = 1)
-GROUP BY idx, span""", [], ("impacts", "lexicon")))
+GROUP BY idx, span""", [], ("pair_rows", "lexicon")))
 def g26_explain_spans(spark, sf_dir):
     """Reasons for each run of consecutive silver-positive tokens."""
     ev = eval_set(spark, sf_dir)
@@ -167,7 +167,7 @@ def g26_explain_spans(spark, sf_dir):
 @register("c9_lexicon_membership", _sql(f"""
 SELECT pos, CAST(count(*) FILTER (WHERE inlex) AS BIGINT) AS n_in, CAST(count(*) FILTER (WHERE NOT inlex) AS BIGINT) AS n_out
 FROM (SELECT pos[i] AS pos, list_contains((SELECT list(lemma) FROM lexicon), lemmas[i]) AS inlex
-      FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM ev)) GROUP BY pos""", [], ("impacts", "lexicon")))
+      FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM ev)) GROUP BY pos""", [], ("pair_rows", "lexicon")))
 def c9_lexicon_membership(spark, sf_dir):
     """Tokens inside / outside the basic lexicon per POS (broadcast left join)."""
     t = X.lexicon_flags(eval_set(spark, sf_dir), fixtures.lexicon(spark, sf_dir))

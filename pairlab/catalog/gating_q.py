@@ -19,7 +19,7 @@ _BASE = [_SAMPLED, _LONG, _split_sql("long"), GATING_BASE]
 
 
 def _sql(body: str, extra: list[str] = ()) -> str:
-    return with_fixtures(["impacts"], body, _BASE + list(extra))
+    return with_fixtures(["pair_rows"], body, _BASE + list(extra))
 
 
 def _rows(spark, sf_dir):
@@ -27,12 +27,12 @@ def _rows(spark, sf_dir):
 
 
 @register("e7_e8_gating_inputs", _sql("""
-SELECT original_sentence_idx, gid, round(input_readit, 6) AS input_readit, round(gold_readit, 6) AS gold_readit,
+SELECT original_sentence_idx, gid, round(input_score, 6) AS input_score, round(gold_score, 6) AS gold_score,
   round(gap_to_gold, 6) AS gap_to_gold, true_label FROM g"""))
 def e7_e8_gating_inputs(spark, sf_dir):
     """Gold per test original and every input row with its gap and label."""
     g = _rows(spark, sf_dir)
-    return g.select("original_sentence_idx", "gid", "input_readit", "gold_readit", "gap_to_gold", "true_label")
+    return g.select("original_sentence_idx", "gid", "input_score", "gold_score", "gap_to_gold", "true_label")
 
 
 @register("d2_label_counts", _sql("""
@@ -111,14 +111,14 @@ def l3_gating_table_ter(spark, sf_dir):
     return G.result_table(s)
 
 
-@register("g13_sari_pairs", with_fixtures(["impacts"], """
+@register("g13_sari_pairs", with_fixtures(["pair_rows"], """
 SELECT idx, round(sari, 6) AS sari FROM (SELECT idx, """ + __import__("pairlab.oracle.gating_sql", fromlist=["x"]).sari_from_counts_sql("c")
     + """ AS sari FROM (SELECT idx, """ + ", ".join(
         f"{__import__('pairlab.oracle.gating_sql', fromlist=['x']).gram_counts_sql('ts', 'tc', 'tr', n)} AS c{n}" for n in range(1, 5))
     + """ FROM (SELECT idx, regexp_extract_all(lower(original_text), '\\p{L}+|[^\\s\\p{L}]') AS ts,
         regexp_extract_all(lower(simplification), '\\p{L}+|[^\\s\\p{L}]') AS tc,
-        regexp_extract_all(lower(simplification), '\\p{L}+|[^\\s\\p{L}]') AS tr FROM impacts WHERE idx % 10 = 3)))""".replace(
-        "FROM impacts WHERE idx % 10 = 3", "FROM impacts")))
+        regexp_extract_all(lower(simplification), '\\p{L}+|[^\\s\\p{L}]') AS tr FROM pair_rows WHERE idx % 10 = 3)))""".replace(
+        "FROM pair_rows WHERE idx % 10 = 3", "FROM pair_rows")))
 def g13_sari_pairs(spark, sf_dir):
     """G13 on every pair of the table: SARI(original, simplification, reference = simplification)."""
     p = pairs_table(spark, sf_dir)

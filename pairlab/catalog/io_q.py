@@ -21,11 +21,11 @@ from pairlab.sources import fixtures
 from pairlab.sources import io as IO
 
 
-def _sql(body: str, extra: list[str] = (), fx=("impacts",)) -> str:
+def _sql(body: str, extra: list[str] = (), fx=("pair_rows",)) -> str:
     return with_fixtures(list(fx), body, _BASE + list(extra))
 
 
-@register("a3_split_sink_roundtrip", with_fixtures(["impacts"], """
+@register("a3_split_sink_roundtrip", with_fixtures(["pair_rows"], """
 SELECT split, is_original, CAST(count(*) AS BIGINT) AS n_rows FROM long JOIN sp ON long.original_sentence_idx = sp.id
 GROUP BY split, is_original""", [_SAMPLED, _LONG, _split_sql("long")]))
 def a3_split_sink_roundtrip(spark, sf_dir):
@@ -47,7 +47,7 @@ _EXPL = f"""ex AS (SELECT idx, CASE WHEN dep[i] IN {SUB_DEPS} THEN 'clausola sub
 
 
 @register("a4_csv_roundtrip", _sql("SELECT motivo, CAST(count(*) AS BIGINT) AS n FROM ex GROUP BY motivo", [_EXPL],
-                                   ("impacts", "lexicon")))
+                                   ("pair_rows", "lexicon")))
 def a4_csv_roundtrip(spark, sf_dir):
     """A4: token explanations written as CSV and read back with an explicit schema."""
     path = IO.scratch_path(spark, "explanations")

@@ -15,7 +15,7 @@ from pairlab.oracle.parse_sql import ANNOT_OUT, PARSE_CTES
 from pairlab.sources import fixtures
 
 
-def _sql(body: str, extra: list[str] = (), fx=("impacts", "responses")) -> str:
+def _sql(body: str, extra: list[str] = (), fx=("pair_rows", "responses")) -> str:
     return with_fixtures(list(fx), body, _BASE + list(extra))
 
 
@@ -80,7 +80,7 @@ def g23_strict_parse(spark, sf_dir):
 
 @register("g15_g16_prompts", _sql(r"""
 SELECT idx, original || chr(10) || array_to_string(list_transform(tokens, lambda t, i: CAST(i - 1 AS VARCHAR) || ': ' || t), chr(10)) AS prompt,
-  CAST(4 AS BIGINT) AS n_messages FROM ev""", fx=("impacts",)))
+  CAST(4 AS BIGINT) AS n_messages FROM ev""", fx=("pair_rows",)))
 def g15_g16_prompts(spark, sf_dir):
     """G15 + G16: numbered-token prompt text and chat turns (system, one few-shot pair, user)."""
     ev = eval_set(spark, sf_dir)
@@ -95,7 +95,7 @@ SELECT CAST(max(len(regexp_extract_all(p, '\p{{L}}+|[^\s\p{{L}}]'))) AS BIGINT)
   CAST(count(*) AS BIGINT) AS n_prompts,
   CAST(sum(least(len(regexp_extract_all(p, '\p{{L}}+|[^\s\p{{L}}]')), 128)) AS BIGINT) AS kept_tokens
 FROM (SELECT original || chr(10) || array_to_string(list_transform(tokens, lambda t, i: CAST(i - 1 AS VARCHAR) || ': ' || t), chr(10)) AS p FROM ev)""",
-    fx=("impacts",)))
+    fx=("pair_rows",)))
 def d27_g31_prompt_audit(spark, sf_dir):
     """D27 + G31: longest prompt, prompts over the 128-token limit, tokens kept after truncation."""
     ev = eval_set(spark, sf_dir).select(T.numbered_tokens("original", "tokens").alias("p"))
@@ -107,7 +107,7 @@ def d27_g31_prompt_audit(spark, sf_dir):
 
 @register("g30_bracket_highlight", _sql("""
 SELECT r.idx, array_to_string(list_transform(ev.tokens, lambda t, i: CASE WHEN r.pred[i] = 1 THEN '[' || t || ']' ELSE t END), ' ') AS highlighted
-FROM (""" + random_pred(0.3) + """) r JOIN ev ON r.idx = ev.idx""", fx=("impacts",)))
+FROM (""" + random_pred(0.3) + """) r JOIN ev ON r.idx = ev.idx""", fx=("pair_rows",)))
 def g30_bracket_highlight(spark, sf_dir):
     """Sentence text with the random method's tokens in brackets."""
     ev = eval_set(spark, sf_dir)

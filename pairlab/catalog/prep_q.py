@@ -15,9 +15,9 @@ from pairlab.sources.tables import read_table
 ID = "original_sentence_idx"
 
 # ---------------------------------------------------------------- SQL pieces
-_SAMPLED = f"""ids AS (SELECT DISTINCT original_sentence_idx AS id FROM impacts),
+_SAMPLED = f"""ids AS (SELECT DISTINCT original_sentence_idx AS id FROM pair_rows),
 sampled AS (SELECT id FROM ids ORDER BY {order_key("concat('42', ':', id)")}, id LIMIT 40000),
-p AS (SELECT * FROM impacts WHERE original_sentence_idx IN (SELECT id FROM sampled)
+p AS (SELECT * FROM pair_rows WHERE original_sentence_idx IN (SELECT id FROM sampled)
       AND round(original_all - simplification_all, 9) > 0.05::DOUBLE)"""
 _LONG = f"""orig AS (SELECT original_sentence_idx, original_text AS text, original_all AS score, true AS is_original
   FROM (SELECT *, row_number() OVER (PARTITION BY original_sentence_idx ORDER BY idx) AS rn FROM p) WHERE rn = 1),
@@ -42,7 +42,7 @@ def pairs_table(spark, sf_dir):
     """The pair table input, materialised once per session (it plays the role
     of the stored dataset; every job of a plan re-reads it instead of
     re-deriving it from the documents)."""
-    return fixtures.impacts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return fixtures.pair_table(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def prepared(spark, sf_dir):
@@ -50,7 +50,7 @@ def prepared(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- L1 flagship
-@register("l1_prepare_split_report", with_fixtures(["impacts"], f"""
+@register("l1_prepare_split_report", with_fixtures(["pair_rows"], f"""
 SELECT split, is_original, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(count(DISTINCT original_sentence_idx) AS BIGINT) AS n_ids, round(avg(score), 6) AS avg_score
 FROM long JOIN sp ON long.original_sentence_idx = sp.id GROUP BY split, is_original""",
@@ -60,7 +60,7 @@ def l1_prepare_split_report(spark, sf_dir):
     return prep.split_report(prepared(spark, sf_dir))
 
 
-@register("e4_group_split_rows", with_fixtures(["impacts"], """
+@register("e4_group_split_rows", with_fixtures(["pair_rows"], """
 SELECT long.original_sentence_idx, split, is_original, round(CAST(score AS DOUBLE), 6) AS score
 FROM long JOIN sp ON long.original_sentence_idx = sp.id""", [_SAMPLED, _LONG, _split_sql("long")]))
 def e4_group_split_rows(spark, sf_dir):
@@ -68,7 +68,7 @@ def e4_group_split_rows(spark, sf_dir):
     return prepared(spark, sf_dir).select(ID, "split", "is_original", "score")
 
 
-@register("c10_split_overlaps", with_fixtures(["impacts"], """
+@register("c10_split_overlaps", with_fixtures(["pair_rows"], """
 SELECT CAST(coalesce(sum(CASE WHEN list_contains(s, 'train') AND list_contains(s, 'val') THEN 1 ELSE 0 END), 0) AS BIGINT) AS train_val,
        CAST(coalesce(sum(CASE WHEN list_contains(s, 'train') AND list_contains(s, 'test') THEN 1 ELSE 0 END), 0) AS BIGINT) AS train_test,
        CAST(coalesce(sum(CASE WHEN list_contains(s, 'val') AND list_contains(s, 'test') THEN 1 ELSE 0 END), 0) AS BIGINT) AS val_test

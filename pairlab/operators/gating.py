@@ -35,18 +35,18 @@ def gating_inputs(pairs: DataFrame, delta_filter: float = 0.05, delta_label: flo
     """
     valid = pairs.where(gain() > F.lit(delta_filter))
     gold = valid.groupBy(ID).agg(
-        F.min_by(F.struct(F.col("simplification").alias("gold_text"), F.col("simplification_all").alias("gold_readit"),
+        F.min_by(F.struct(F.col("simplification").alias("gold_text"), F.col("simplification_all").alias("gold_score"),
                           F.col(variant_col).alias("gold_idx")),
                  F.struct("simplification_all", variant_col)).alias("g")).select(ID, "g.*")
     firsts = pairs.groupBy(ID).agg(F.min_by(F.struct("original_text", "original_all"), F.col(variant_col)).alias("o"))
     originals = firsts.select(ID, (F.col(ID) * ROW_STRIDE + 10).alias("gid"),
-                              F.col("o.original_text").alias("input_text"), F.col("o.original_all").alias("input_readit"))
+                              F.col("o.original_text").alias("input_text"), F.col("o.original_all").alias("input_score"))
     others = valid.select(ID, (F.col(ID) * ROW_STRIDE + F.col(variant_col) % 10).alias("gid"),
-                          F.col("simplification").alias("input_text"), F.col("simplification_all").alias("input_readit"),
+                          F.col("simplification").alias("input_text"), F.col("simplification_all").alias("input_score"),
                           F.col(variant_col).alias("_v"))
     inputs = originals.unionByName(others, allowMissingColumns=True)
     x = inputs.join(gold, ID).where(F.col("_v").isNull() | (F.col("_v") != F.col("gold_idx"))).drop("_v", "gold_idx")
-    gap = F.col("input_readit") - F.col("gold_readit")
+    gap = F.col("input_score") - F.col("gold_score")
     return x.withColumns({"gap_to_gold": gap,
                           "true_label": (F.round(gap, 9) > F.lit(delta_label)).cast("int")})
 
@@ -82,7 +82,7 @@ def overlap_filter(df: DataFrame, a: str = "input_text", b: str = "gold_text", m
     return df.withColumn("ov", lexical_overlap(a, b)).where(F.col("ov") >= F.lit(min_overlap))
 
 
-def route(df: DataFrame, output: str = "anita_output", gate: str = "pred_gate", source: str = "input_text") -> DataFrame:
+def route(df: DataFrame, output: str = "gen_output", gate: str = "pred_gate", source: str = "input_text") -> DataFrame:
     """Condition A always takes the generated output, condition B only when gated."""
     return df.withColumns({"out_A": F.col(output),
                            "out_B": F.when(F.col(gate) == 1, F.col(output)).otherwise(F.col(source))})

@@ -1,6 +1,6 @@
 """DuckDB SQL of the derived fixtures, for the independent oracle.
 
-``with_fixtures(["impacts"], body)`` prefixes a query with the CTEs it needs,
+``with_fixtures(["pair_rows"], body)`` prefixes a query with the CTEs it needs,
 in dependency order. The definitions mirror ``pairlab.sources.fixtures``.
 """
 
@@ -86,12 +86,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   SELECT sid, v, tokens, {_SIMP} AS simp_tokens
   FROM (SELECT sid, tokens, hs, unnest(generate_series(0, 9)) AS v
         FROM (SELECT sid, tokens, """ + token_hashes_sql("tokens", "sid") + """ AS hs FROM sents)))"""),
-    "impacts": (("variants",), f"""impacts AS (
+    "pair_rows": (("variants",), f"""pair_rows AS (
   SELECT sid * 10 + v AS idx, sid AS original_sentence_idx,
     array_to_string(tokens, ' ') AS original_text, array_to_string(simp_tokens, ' ') AS simplification,
     {gulpease_sql('tokens')} AS original_all, {gulpease_sql('simp_tokens')} AS simplification_all
   FROM variants)"""),
-    "impacts_prof": (("variants",), f"""impacts_prof AS (
+    "pair_rows_prof": (("variants",), f"""pair_rows_prof AS (
   SELECT sid * 10 + v AS idx, sid AS original_sentence_idx,
     array_to_string(tokens, ' ') AS original_text, array_to_string(simp_tokens, ' ') AS simplification,
     {gulpease_sql('tokens')} AS original_all, {gulpease_sql('simp_tokens')} AS simplification_all,

@@ -78,18 +78,18 @@ def tok_lower(text: str) -> str:
     return f"regexp_extract_all(lower({text}), {TOKEN_RE})"
 
 
-GATING_BASE = f"""pt AS (SELECT * FROM impacts WHERE original_sentence_idx IN (SELECT id FROM sp WHERE split = 'test')),
+GATING_BASE = f"""pt AS (SELECT * FROM pair_rows WHERE original_sentence_idx IN (SELECT id FROM sp WHERE split = 'test')),
 valid AS (SELECT * FROM pt WHERE round(original_all - simplification_all, 9) > 0.05::DOUBLE),
-gold AS (SELECT original_sentence_idx, simplification AS gold_text, simplification_all AS gold_readit, idx AS gold_idx
+gold AS (SELECT original_sentence_idx, simplification AS gold_text, simplification_all AS gold_score, idx AS gold_idx
   FROM (SELECT *, row_number() OVER (PARTITION BY original_sentence_idx ORDER BY simplification_all, idx) AS rn FROM valid) WHERE rn = 1),
 g_orig AS (SELECT original_sentence_idx, original_sentence_idx * 11 + 10 AS gid, original_text AS input_text,
-    original_all AS input_readit, CAST(NULL AS BIGINT) AS v
+    original_all AS input_score, CAST(NULL AS BIGINT) AS v
   FROM (SELECT *, row_number() OVER (PARTITION BY original_sentence_idx ORDER BY idx) AS rn FROM pt) WHERE rn = 1),
 g_oth AS (SELECT original_sentence_idx, original_sentence_idx * 11 + idx % 10 AS gid, simplification AS input_text,
-    simplification_all AS input_readit, idx AS v FROM valid),
-g AS (SELECT i.original_sentence_idx, gid, input_text, input_readit, gold_text, gold_readit,
-    input_readit - gold_readit AS gap_to_gold,
-    CASE WHEN round(input_readit - gold_readit, 9) > 0.10::DOUBLE THEN 1 ELSE 0 END AS true_label
+    simplification_all AS input_score, idx AS v FROM valid),
+g AS (SELECT i.original_sentence_idx, gid, input_text, input_score, gold_text, gold_score,
+    input_score - gold_score AS gap_to_gold,
+    CASE WHEN round(input_score - gold_score, 9) > 0.10::DOUBLE THEN 1 ELSE 0 END AS true_label
   FROM (SELECT * FROM g_orig UNION ALL SELECT * FROM g_oth) i JOIN gold ON i.original_sentence_idx = gold.original_sentence_idx
   WHERE v IS NULL OR v <> gold_idx)"""
 
@@ -121,9 +121,9 @@ quad AS (SELECT *, CASE WHEN true_label = 1 AND pred_gate = 1 THEN 'TP' WHEN tru
   WHEN true_label = 0 AND pred_gate = 0 THEN 'TN' ELSE 'FP' END AS quadrante FROM gated)"""
 
 
-ROUTED = f"""gen AS (SELECT *, {stub_sql('input_text', 'input_text')} AS anita_output FROM quad),
+ROUTED = f"""gen AS (SELECT *, {stub_sql('input_text', 'input_text')} AS gen_output FROM quad),
 clean AS (SELECT *, {overlap_sql('input_text', 'gold_text')} AS ov FROM gen),
-routed AS (SELECT *, anita_output AS out_A, CASE WHEN pred_gate = 1 THEN anita_output ELSE input_text END AS out_B
+routed AS (SELECT *, gen_output AS out_A, CASE WHEN pred_gate = 1 THEN gen_output ELSE input_text END AS out_B
   FROM clean WHERE ov >= 0.2::DOUBLE),
 rt AS (SELECT *, {tok_lower('input_text')} AS ts, {tok_lower('out_A')} AS ta, {tok_lower('out_B')} AS tb,
   {tok_lower('gold_text')} AS tr FROM routed),

@@ -51,7 +51,7 @@ def gated_sample(pairs: DataFrame, sentences: DataFrame, n_sample: int = 10_000,
 
 
 def stub_output(df: DataFrame) -> DataFrame:
-    return df.withColumn("anita_output", stub_generate(F.col("input_text"), F.col("input_text")))
+    return df.withColumn("gen_output", stub_generate(F.col("input_text"), F.col("input_text")))
 
 
 def gating_experiment(pairs: DataFrame, sentences: DataFrame, n_sample: int = 10_000, with_ter: bool = True,

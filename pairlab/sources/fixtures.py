@@ -89,7 +89,7 @@ def _features(tokens: Column) -> dict[str, Column]:
     }
 
 
-def impacts(spark: SparkSession, sf_dir: str, with_profile: bool = False) -> DataFrame:
+def pair_table(spark: SparkSession, sf_dir: str, with_profile: bool = False) -> DataFrame:
     """M1/M2 pair table: ten simplifications per original sentence.
 
     idx, original_sentence_idx, original_text, simplification, original_all,
