@@ -14,7 +14,9 @@ FIXED_THR = 0.2
 
 
 def _scored(spark, sf_dir):
-    return fixtures.scored(spark, sf_dir)
+    """The scored-sentence input, materialised once (it stands for a stored table)."""
+    from pyspark import StorageLevel
+    return fixtures.scored(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _pred_col():

@@ -22,15 +22,28 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def score_counts(df: DataFrame, score: str, label: str | None = None) -> DataFrame:
+    """One row per distinct non-null score (as ``_s``): cnt, pos. Partial
+    aggregation makes a hot score value cost one row, not a hot task.
+    Persisted: the boundary sketch, the CDF and threshold tables all read it."""
+    pos_expr = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
+    return (df.where(F.col(score).isNotNull())
+            .groupBy(F.col(score).cast("double").alias("_s"))
+            .agg(F.count(F.lit(1)).alias("cnt"), pos_expr.alias("pos"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
 def score_cdf(df: DataFrame, score: str, label: str | None = None,
               n_buckets: int = CDF_BUCKETS) -> DataFrame:
     """One row per distinct non-null ``score``: cnt, pos, cnt_below, pos_below,
     n_total, pos_total (pos columns only count ``label == 1``)."""
-    pos_expr = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
-    dist = (df.where(F.col(score).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("_s"))
-            .agg(F.count(F.lit(1)).alias("cnt"), pos_expr.alias("pos"))
-            .persist(StorageLevel.MEMORY_AND_DISK))   # read by the boundary sketch and the main job
+    return cdf_from_counts(score_counts(df, score, label), score, n_buckets)
+
+
+def cdf_from_counts(dist: DataFrame, score: str, n_buckets: int = CDF_BUCKETS) -> DataFrame:
+    """Exclusive prefix sums over the distinct-score table ``dist`` (``_s``, cnt,
+    pos): value-range buckets from a bounded quantile sketch, bucket totals
+    (<= n_buckets rows) broadcast as offsets, a running sum inside each bucket."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     # bounded sketch of the distinct values; a plain aggregate, so it also fills the cache of ``dist``
     row = dist.agg(F.percentile_approx("_s", probs, 4 * n_buckets).alias("b")).first() if n_buckets > 1 else None
@@ -160,14 +173,17 @@ def linspace(a: float, b: float, n: int) -> list[float]:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, distributed.
+    """Exact quantiles with linear interpolation, distributed."""
+    return quantiles_from_cdf(score_cdf(df, col), col, probs)
 
-    Positions floor/ceil((n-1)q) are looked up in the score CDF by a range
+
+def quantiles_from_cdf(c: DataFrame, col: str, probs: list[float]) -> DataFrame:
+    """Positions floor/ceil((n-1)q) are looked up in the CDF by a range
     condition against a broadcast table of 2*len(probs) positions."""
-    c = score_cdf(df, col).cache()
+    c = c.persist(StorageLevel.MEMORY_AND_DISK)
     n = c.select("n_total").first()
     n = int(n[0]) if n else 0
-    spark = df.sparkSession
+    spark = c.sparkSession
     rows = []
     for j, q in enumerate(probs):
         h = (n - 1) * q
@@ -186,20 +202,25 @@ CRITERIA = ("f1", "balanced_acc", "youden")
 
 
 def threshold_table(df: DataFrame, score: str, label: str, candidates: list[float]) -> DataFrame:
-    """Counts for every candidate threshold t (prediction = score > t) in one pass.
+    """Counts for every candidate threshold t (prediction = score > t) from the rows."""
+    return threshold_table_from_counts(score_counts(df, score, label), candidates)
+
+
+def threshold_table_from_counts(dist: DataFrame, candidates: list[float]) -> DataFrame:
+    """Counts for every candidate threshold t (prediction = score > t) in one pass
+    over the distinct-score table (``_s``, cnt, pos).
 
-    Each row is bucketed by b = number of candidates strictly below its score
-    (a JVM array filter over <= 91 literals); the <= m+1 bucket rows are joined
-    onto the complete bucket index 0..m and a reverse cumulative sum gives, for
+    Each score is bucketed by b = number of candidates strictly below it (a JVM
+    array filter over <= 91 literals); the <= m+1 bucket rows are joined onto
+    the complete bucket index 0..m and a reverse cumulative sum gives, for
     candidate j, the rows with b >= j+1, i.e. score > t_j."""
     cands = sorted(set(round(c, QUANT_DIGITS) for c in candidates))
     m = len(cands)
     arr = F.array(*[F.lit(float(c)) for c in cands])
-    s = F.round(F.col(score).cast("double"), QUANT_DIGITS)
+    s = F.round(F.col("_s"), QUANT_DIGITS)
     b = F.size(F.filter(arr, lambda t: t < s))
-    per = df.where(F.col(score).isNotNull()).groupBy(b.alias("j")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum(F.col(label).cast("long")).alias("pos"))
-    spark = df.sparkSession
+    per = dist.groupBy(b.alias("j")).agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"))
+    spark = dist.sparkSession
     idx = spark.createDataFrame([(j, float(cands[j]) if j < m else None) for j in range(m + 1)],
                                 "j int, thr double")
     full = idx.join(F.broadcast(per), "j", "left").select(
@@ -234,9 +255,10 @@ def calibrate_threshold(df: DataFrame, score: str, label: str, lo: float = 0.1,
     """Best candidate among quantiles linspace(lo, hi, n); strict >, the
     lowest threshold wins ties. Returns thr, objective."""
     obj = objective(criterion)   # validates the criterion before any job runs
-    qs = exact_quantiles(df, score, linspace(lo, hi, n))
+    dist = score_counts(df, score, label)          # the only pass over the rows
+    qs = quantiles_from_cdf(cdf_from_counts(dist, "_s"), "_s", linspace(lo, hi, n))
     cands = [r["value"] for r in qs.select("value").collect()]   # n numbers
-    t = threshold_table(df, score, label, cands)
+    t = threshold_table_from_counts(dist, cands)
     return (t.select("thr", obj.alias("objective"))
             .orderBy(F.desc("objective"), F.asc("thr")).limit(1))
 
