@@ -8,3 +8,4 @@ from pairlab.catalog import parse_q  # noqa: F401
 from pairlab.catalog import io_q  # noqa: F401
 from pairlab.catalog import profile_q  # noqa: F401
 from pairlab.catalog import misc_q  # noqa: F401
+from pairlab.catalog import core_q  # noqa: F401

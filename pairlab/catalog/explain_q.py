@@ -58,7 +58,7 @@ SELECT method, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS r
   round(avg(ed_sub1), 6) AS ed_sub1, round(avg(ed_sub1_5), 6) AS ed_sub1_5, round(avg(ed_sub2), 6) AS ed_sub2,
   CAST(count(*) AS BIGINT) AS n_evaluated FROM sc GROUP BY method""", [preds_cte(_METHODS_SQL), scores_cte()], _FX))
 def d17_d22_evaluate_methods(spark, sf_dir):
-    """D17 + D22 (+ E10, G24, E9, G9, G10): token P/R/F1 and word edit distance of
+    """D17 + D22 (+ C3 pairs, C5 key join, E10, G24, E9, G9, G10): token P/R/F1 and word edit distance of
     the kept tokens at three substitution costs, per method, in one job."""
     ev = eval_set(spark, sf_dir)
     return X.evaluate(ev, methods(spark, sf_dir, ev))

@@ -170,7 +170,8 @@ best AS (SELECT thr, {obj} AS objective FROM ev ORDER BY objective DESC, thr ASC
     ["scored"], "SELECT round(thr, 6) AS thr, round(objective, 6) AS objective FROM best",
     [_calib_sql("val", 0.1, 0.9, 81, "f1")]))
 def d13_threshold_calibration(spark, sf_dir):
-    """Threshold maximising F1 among 81 quantile candidates (val split)."""
+    """D13 + C11: threshold maximising F1 among 81 quantile candidates (val split); the
+    candidates x rows theta join runs in its histogram form."""
     val = _scored(spark, sf_dir).where(F.col("split") == "val")
     return M.calibrate_threshold(val, "pred", "label")
 

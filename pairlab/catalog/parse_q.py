@@ -31,7 +31,7 @@ def _motivi_str(m):
 
 @register("g22_parse_annotations", _sql(ANNOT_OUT, PARSE_CTES))
 def g22_parse_annotations(spark, sf_dir):
-    """G17-G22 + F4: tolerant parse of every response (status, indices, reasons)."""
+    """G17 + G18 + G19 + G20 + G21 + G22 + F4: tolerant parse of every response (status, indices, reasons)."""
     a = _annotated(spark, sf_dir)
     return a.select("idx", F.col("a.status").alias("status"),
                     F.array_join(F.transform("a.complex", lambda x: x.cast("string")), ",").alias("complex"),

@@ -56,7 +56,8 @@ SELECT split, is_original, CAST(count(*) AS BIGINT) AS n_rows,
 FROM long JOIN sp ON long.original_sentence_idx = sp.id GROUP BY split, is_original""",
     [_SAMPLED, _LONG, _split_sql("long")]))
 def l1_prepare_split_report(spark, sf_dir):
-    """L1 + D29: sample, filter, melt, cap, clean and split; rows/ids/mean score per split."""
+    """L1 + D29: A1 scan, E3 sample, C1/C2 semi-joins, B4 filter, E1/E2 originals and capped
+    simplifications, B2/F1 melt, B5-B8 cleaning, E4 split; rows/ids/mean score per split."""
     return prep.split_report(prepared(spark, sf_dir))
 
 

@@ -90,3 +90,23 @@ def restore_order(inputs: DataFrame, outputs: DataFrame, id_col: str = "id") ->
     """Outputs matched to inputs by global id (never by position), sorted
     by id for export."""
     return inputs.join(outputs, id_col, "left").orderBy(id_col)
+
+
+Scorer = Callable[[list[str]], list[float]]
+SCORE_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def score(df: DataFrame, factory: Callable[[], Scorer], id_col: str = "id", text_col: str = "text",
+          batch_size: int = 64) -> DataFrame:
+    """I4: batched classifier scoring with a pluggable scorer (one load per
+    task, fixed-size batches), keyed by id. Returns id, score."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = factory()
+        for pdf in batches:
+            texts = pdf[text_col].tolist()
+            out: list[float] = []
+            for i in range(0, len(texts), batch_size):
+                out.extend(f(texts[i:i + batch_size]))
+            yield pd.DataFrame({"id": pdf[id_col].astype("int64"), "score": pd.Series(out, dtype="float64")})
+    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)) \
+        .mapInPandas(run, SCORE_SCHEMA)

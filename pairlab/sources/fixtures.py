@@ -268,3 +268,19 @@ def subword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("idx", "piece_pos", F.lit(None).cast("int").alias("word_id"),
                 (md5_bucket("sp:", F.col("idx"), ":", F.col("piece_pos")) - 50).cast("double").alias("attribution"))
     return pieces.unionByName(specials)
+
+
+def long_share_scorer_factory():
+    """Python form of the stand-in complexity scorer (share of tokens longer
+    than 6 characters), for the pluggable batch scorer (I4)."""
+    import regex
+
+    tok = regex.compile(r"\p{L}+|[^\s\p{L}]")
+
+    def f(texts: list[str]) -> list[float]:
+        out = []
+        for t in texts:
+            w = tok.findall(t or "")
+            out.append(sum(1 for x in w if len(x) > 6) / len(w) if w else float("nan"))
+        return out
+    return f
