@@ -33,6 +33,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -48,3 +49,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pairlab`` importable in every Python worker (pandas UDFs and
+    mapInPandas functions are pickled by module reference). The package is
+    zipped once per SparkContext and distributed with ``addPyFile``, which is
+    how executors on a cluster receive it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pairlab_shipped", False):
+        return
+    import zipfile
+
+    import pairlab
+
+    pkg = os.path.dirname(os.path.abspath(pairlab.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="pairlab-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._pairlab_shipped = True
