@@ -79,17 +79,32 @@ def mean_by_side(sentences: DataFrame, features: list[str], top: int = 10) -> Da
     return long.orderBy(F.desc("delta"), F.asc("feature")).limit(top)
 
 
-def exact_medians(df: DataFrame, features: list[str]) -> DataFrame:
-    """H1 statistics: exact median (linear interpolation) of every feature.
+def exact_medians(df: DataFrame, features: list[str], n_buckets: int = 64) -> DataFrame:
+    """H1 statistics: exact median (linear interpolation) of every feature, all
+    features in the same jobs.
+
+    Long form -> counts per (feature, value) with partial aggregation -> per
+    feature value-range buckets from a bounded quantile sketch (features x
+    n_buckets numbers) -> bucket totals (a table of at most that size) broadcast
+    as offsets -> running counts inside each (feature, bucket). No feature's
+    values are ever sorted in a single task."""
+    from pyspark import StorageLevel
 
-    Long form, counts per (feature, value) with partial aggregation, then the
-    two middle positions are located with a running count per feature (a
-    sort-based window that spills, not a collected buffer)."""
     long = _stack(df, [], features).where(F.col("value").isNotNull())
-    cnt = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    c = cnt.select("feature", "value", "c", F.sum("c").over(w).alias("cum"),
-                   F.sum("c").over(Window.partitionBy("feature")).alias("n"))
+    cnt = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    sk = {r["feature"]: r["b"] for r in cnt.groupBy("feature").agg(
+        F.percentile_approx("value", probs, 4 * n_buckets).alias("b")).collect()}
+    bounds = F.create_map(*[x for f in features for x in (
+        F.lit(f), F.array(*[F.lit(float(v)) for v in (sorted(set(sk.get(f) or [])) or [0.0])]))])
+    b = cnt.withColumn("_rb", F.size(F.filter(F.element_at(bounds, F.col("feature")), lambda t: t < F.col("value"))))
+    tot = b.groupBy("feature", "_rb").agg(F.sum("c").alias("_bc"))
+    w_prev = Window.partitionBy("feature").orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("feature", "_rb", F.coalesce(F.sum("_bc").over(w_prev), F.lit(0)).alias("_off"),
+                     F.sum("_bc").over(Window.partitionBy("feature")).alias("n"))
+    w_in = Window.partitionBy("feature", "_rb").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    c = b.join(F.broadcast(off), ["feature", "_rb"]).select(
+        "feature", "value", "c", "n", (F.col("_off") + F.sum("c").over(w_in)).alias("cum"))
     lo = F.floor((F.col("n") - 1) / 2.0)
     hi = F.ceil((F.col("n") - 1) / 2.0)
     hit = lambda k: (k >= F.col("cum") - F.col("c")) & (k < F.col("cum"))

@@ -19,6 +19,7 @@ from pairlab.functions.text import tokenize
 from pairlab.operators import gating as G
 from pairlab.operators import metrics as M
 from pairlab.operators import sampling
+from pairlab.session import materialize
 from pairlab.sources.fixtures import long_share, stub_generate
 
 ID = "original_sentence_idx"
@@ -56,9 +57,9 @@ def stub_output(df: DataFrame) -> DataFrame:
 
 def gating_experiment(pairs: DataFrame, sentences: DataFrame, n_sample: int = 10_000, with_ter: bool = True,
                       generate: Callable[[DataFrame], DataFrame] = stub_output) -> DataFrame:
-    """Returns the scored rows (persisted: the table and any drill-down reuse them)."""
+    """Returns the scored rows (checkpointed: the table and any drill-down reuse them)."""
     smp = gated_sample(pairs, sentences, n_sample)
     out = generate(smp)
     clean = G.overlap_filter(out)
     scored = G.score_conditions(G.route(clean), with_ter=with_ter)
-    return scored.persist(StorageLevel.MEMORY_AND_DISK)
+    return materialize(scored)   # per-row scores computed once, reused by every table

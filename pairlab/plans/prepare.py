@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions.hashing import md5_order
 from pairlab.operators import prep, sampling
+from pairlab.session import materialize
 
 ID = "original_sentence_idx"
 
@@ -57,4 +58,7 @@ def _finish(long: DataFrame, feats: list[str], persist: bool) -> DataFrame:
     long = long.persist(StorageLevel.MEMORY_AND_DISK)   # read by the split rank jobs and the final join
     split = sampling.group_split(long.select(ID), ID)
     out = long.join(split, ID)
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
+    if persist:   # reused by many jobs downstream: checkpoint to the shared folder
+        out = materialize(out)
+        long.unpersist()
+    return out

@@ -75,3 +75,18 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     sc._pairlab_shipped = True
+
+
+def materialize(df):
+    """Cut the lineage of a table that later jobs reuse: compute it once
+    (persisted so the checkpoint write does not recompute it), write a reliable
+    checkpoint to the shared ``spark.checkpoint.dir`` and continue from the
+    checkpoint files. A lost executor then costs a re-read, not a replay of the
+    whole upstream plan."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

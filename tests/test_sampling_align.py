@@ -45,3 +45,15 @@ def test_matcher_and_labels():
     assert typed_labels(toks, toks, simp, simp, guarded=False) == ["keep", "keep", "del", "keep"]
     simp2 = ["il", "cane", "nero", "dorme"]
     assert typed_labels(toks, toks, simp2, simp2, guarded=True) == ["keep", "sub", "keep", "keep"]
+
+
+def test_exact_medians_match_numpy(spark):
+    import numpy as np
+    from pairlab.operators.profile import exact_medians
+    rnd = np.random.default_rng(5)
+    a = np.round(rnd.random(501), 2)
+    b = np.round(rnd.normal(size=400), 1)
+    rows = [(float(a[i]), float(b[i]) if i < len(b) else None) for i in range(len(a))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = {r["feature"]: r["median"] for r in exact_medians(df, ["a", "b"], n_buckets=8).collect()}
+    assert abs(got["a"] - np.median(a)) < 1e-12 and abs(got["b"] - np.median(b)) < 1e-12
