@@ -20,8 +20,11 @@ def _sql(body: str, extra: list[str] = (), fx: tuple[str, ...] = ("pair_rows",))
 
 
 def eval_set(spark, sf_dir, silver: str = "set"):
+    """Eval set of the test pairs; persisted because every method branch, the
+    evaluation join and the reports read it (the guarded labels run a UDF)."""
+    from pyspark import StorageLevel
     test = prepared(spark, sf_dir).where(F.col("split") == "test")
-    return X.build_eval_set(X.build_pairs(test), silver)
+    return X.build_eval_set(X.build_pairs(test), silver).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _scores(spark, sf_dir):

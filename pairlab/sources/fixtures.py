@@ -82,7 +82,7 @@ def _features(tokens: Column) -> dict[str, Column]:
 
     return {
         "n_tokens": F.size(tokens).cast("double"),
-        "char_per_tok": F.when(nz, F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t)).cast("double") / n),
+        "char_per_tok": F.when(nz, F.length(F.array_join(tokens, "")).cast("double") / n),
         "ttr": F.when(nz, F.size(F.array_distinct(tokens)).cast("double") / n),
         "punct_share": share(lambda t: ~t.rlike(r"^\p{L}+$")),
         "long_share": share(lambda t: F.length(t) > 6),
