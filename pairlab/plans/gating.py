@@ -44,7 +44,7 @@ def calibrated_gate(sentences: DataFrame) -> float:
 
 def gated_sample(pairs: DataFrame, sentences: DataFrame, n_sample: int = 10_000,
                  score: Callable[[Column], Column] = gate_score) -> DataFrame:
-    g = gating_rows(pairs, sentences)
+    g = gating_rows(pairs, sentences).persist(StorageLevel.MEMORY_AND_DISK)   # read by allocation, ranks and sample
     smp = sampling.stratified_sample(g, "true_label", "gid", n_sample)
     thr = calibrated_gate(sentences)
     smp = smp.withColumn("pred_gate", (F.round(score(F.col("input_text")), M.QUANT_DIGITS) > F.lit(thr)).cast("int"))
