@@ -245,12 +245,14 @@ def _pass(encoded: DataFrame, model: Model, overall: np.ndarray) -> Model:
     return re_estimated(counts, overall)
 
 
-def _starting_model(encoded: DataFrame, overall: np.ndarray, states: int) -> Model:
-    """States fitted on a bounded sample of training documents (by a hash of
-    the row), from emissions that differ by fixed random factors."""
-    sample = (encoded.where(~F.col("held_out")).select(F.slice("symbols", 1, SAMPLE_SYMBOLS).alias("symbols"),
-                                                       F.xxhash64("row").alias("h"))
-              .orderBy("h").limit(SAMPLE_DOCS).collect())
+def _starting_model(encoded: DataFrame, overall: np.ndarray, states: int, trained: int) -> Model:
+    """States fitted on a sample of training documents (one in so many by a
+    hash of the row, so that about SAMPLE_DOCS come together whatever the
+    table's size), from emissions that differ by fixed random factors."""
+    one_in = max(1, trained // SAMPLE_DOCS)
+    sample = (encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0))
+              .select("row", F.slice("symbols", 1, SAMPLE_SYMBOLS).alias("symbols")).collect())
+    sample.sort(key=lambda r: r.row)
     random = np.random.default_rng(7)
     emit = overall[:, None] * random.gamma(2.0, size=(len(overall), states))
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
@@ -287,7 +289,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     overall /= below
     encoded = stored(_encode(rows, {w: k for k, w in enumerate(frequent)}, rare, end), "symbols")
     shares = overall / overall.sum()
-    model = _starting_model(encoded, shares, states)
+    model = _starting_model(encoded, shares, states, trained)
     for _ in range(passes if trained else 0):
         model = _pass(encoded, model, shares)
     known = np.array([*(c > 0 for c in frequent.values()), False, trained > 0])

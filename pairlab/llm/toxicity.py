@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from pairlab.llm.storage import stored
 
-#: Labelled documents that a model is fitted on, at most (chosen by a hash).
+#: Labelled documents that a model is fitted on, about (chosen by a hash).
 SAMPLE_DOCS = 10_000
 #: Features of a model, at most; the least document count and surety of each.
 FEATURES, MIN_DOCS, MIN_SURETY = 600, 5, 3.0
@@ -107,11 +107,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic) of at most ``most`` labelled rows that are not held out;
-    the ids are chosen among the labels and travel to the documents, so no text
-    is shuffled but the sample's. Conflicting labels of an id: the greater."""
-    chosen = (labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    """(text, toxic) of about ``most`` labelled rows that are not held out, one
+    id in so many by a hash; the ids are chosen among the labels and travel to
+    the documents, so no text is shuffled. Conflicting labels of an id: the
+    greater."""
+    usable = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    share = min(1.0, most / max(1, usable.count()))
+    chosen = (usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     chosen = chosen.select(F.col("doc_id").alias("chosen"), F.col("toxic").cast("int").alias("toxic"))
     return rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("text", "toxic")
@@ -202,8 +205,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray, changes: np.ndarray, ridge: float
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         most: int = SAMPLE_DOCS, fairness: float = FAIRNESS) -> Classifier:
-    """A classifier from the labelled rows that are not held out (at most
-    ``most``). Without labelled rows every score is 0; with one label only, its
+    """A classifier from the labelled rows that are not held out (about
+    ``most`` of them). Without labelled rows every score is 0; with one label only, its
     smoothed share is everyone's score."""
     rows = stored(sample_rows(labelled_sample(docs, labels, most, id_col, text_col)), "toxicity-sample")
     if rows.isEmpty():
