@@ -23,8 +23,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of links (a, b); component is the least
-    node reachable. Each round is written to shared storage; rounds go on
+    """(node, component) for the nodes of links (a, b), but for the least node
+    of each component; component is the least node reachable. Each round is written to shared storage; rounds go on
     until nothing changes (a few more than the logarithm of the longest path).
     Pre-aggregated least neighbours keep hot nodes out of single tasks; the
     join with them has one row a node and is split where it is skewed. An

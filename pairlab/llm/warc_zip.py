@@ -168,7 +168,7 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 22 - FULL16)  # a comment of 64 KB at most follows the end record
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(END, 0, at)
     if at < 0:
         raise ValueError("no ZIP end record")
