@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlab.catalog.prep_q import _LONG, _SAMPLED, _split_sql, prepared
+from pairlab.catalog.prep_q import _ALL, _LONG, _split_sql, prepared
 from pairlab.catalog.registry import register
 from pairlab.operators import explain as X
 from pairlab.oracle.explain_sql import (CONTENT, EV, LEXICON_PRED, PAIRS, PASS_DEPS, SUB_DEPS, preds_cte,
@@ -12,7 +12,7 @@ from pairlab.oracle.explain_sql import (CONTENT, EV, LEXICON_PRED, PAIRS, PASS_D
 from pairlab.oracle.fixtures_sql import with_fixtures
 from pairlab.sources import fixtures
 
-_BASE = [_SAMPLED, _LONG, _split_sql("long"), PAIRS, EV]
+_BASE = [_ALL, _LONG, _split_sql("long"), PAIRS, EV]
 
 
 def _sql(body: str, extra: list[str] = (), fx: tuple[str, ...] = ("pair_rows",)) -> str:

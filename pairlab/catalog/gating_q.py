@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlab.catalog.prep_q import _LONG, _SAMPLED, _split_sql, pairs_table, prepared
+from pairlab.catalog.prep_q import _ALL, _LONG, _split_sql, pairs_table, prepared
 from pairlab.catalog.registry import register
 from pairlab.functions.sari import with_sari
 from pairlab.functions.text import lexical_overlap
@@ -15,7 +15,7 @@ from pairlab.oracle.gating_sql import GATING_BASE, ROUTED, gate_sql, sample_sql
 from pairlab.plans import gating as L3
 from pairlab.sources import fixtures
 
-_BASE = [_SAMPLED, _LONG, _split_sql("long"), GATING_BASE]
+_BASE = [_ALL, _LONG, _split_sql("long"), GATING_BASE]
 
 
 def _sql(body: str, extra: list[str] = ()) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.catalog.explain_q import _BASE, eval_set
-from pairlab.catalog.prep_q import _LONG, _SAMPLED, _split_sql, prepared
+from pairlab.catalog.prep_q import _ALL, _LONG, _split_sql, prepared
 from pairlab.catalog.registry import register
 from pairlab.operators import explain as X
 from pairlab.operators import inference as I
@@ -27,7 +27,7 @@ def _sql(body: str, extra: list[str] = (), fx=("pair_rows",)) -> str:
 
 @register("a3_split_sink_roundtrip", with_fixtures(["pair_rows"], """
 SELECT split, is_original, CAST(count(*) AS BIGINT) AS n_rows FROM long JOIN sp ON long.original_sentence_idx = sp.id
-GROUP BY split, is_original""", [_SAMPLED, _LONG, _split_sql("long")]))
+GROUP BY split, is_original""", [_ALL, _LONG, _split_sql("long")]))
 def a3_split_sink_roundtrip(spark, sf_dir):
     """A3 (+A2 pruning): sentences written partitioned by split, read back split by split."""
     path = IO.scratch_path(spark, "splits")

@@ -19,6 +19,9 @@ _SAMPLED = f"""ids AS (SELECT DISTINCT original_sentence_idx AS id FROM pair_row
 sampled AS (SELECT id FROM ids ORDER BY {order_key("concat('42', ':', id)")}, id LIMIT 40000),
 p AS (SELECT * FROM pair_rows WHERE original_sentence_idx IN (SELECT id FROM sampled)
       AND round(original_all - simplification_all, 9) > 0.05::DOUBLE)"""
+#: The same over every id; sampling is the feature of L1 alone.
+_ALL = """p AS (SELECT * FROM pair_rows WHERE round(original_all - simplification_all, 9) > 0.05::DOUBLE)"""
+L1_SAMPLE = 40_000
 _LONG = f"""orig AS (SELECT original_sentence_idx, original_text AS text, original_all AS score, true AS is_original
   FROM (SELECT *, row_number() OVER (PARTITION BY original_sentence_idx ORDER BY idx) AS rn FROM p) WHERE rn = 1),
 simp AS (SELECT original_sentence_idx, simplification AS text, simplification_all AS score, false AS is_original
@@ -45,8 +48,8 @@ def pairs_table(spark, sf_dir):
     return fixtures.pair_table(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def prepared(spark, sf_dir):
-    return prepare_sentences(pairs_table(spark, sf_dir), persist=True)
+def prepared(spark, sf_dir, n_sample=None):
+    return prepare_sentences(pairs_table(spark, sf_dir), n_sample=n_sample, persist=True)
 
 
 # ---------------------------------------------------------------- L1 flagship
@@ -58,12 +61,12 @@ FROM long JOIN sp ON long.original_sentence_idx = sp.id GROUP BY split, is_origi
 def l1_prepare_split_report(spark, sf_dir):
     """L1 + D29: A1 scan, E3 sample, C1/C2 semi-joins, B4 filter, E1/E2 originals and capped
     simplifications, B2/F1 melt, B5-B8 cleaning, E4 split; rows/ids/mean score per split."""
-    return prep.split_report(prepared(spark, sf_dir))
+    return prep.split_report(prepared(spark, sf_dir, L1_SAMPLE))
 
 
 @register("e4_group_split_rows", with_fixtures(["pair_rows"], """
 SELECT long.original_sentence_idx, split, is_original, round(CAST(score AS DOUBLE), 6) AS score
-FROM long JOIN sp ON long.original_sentence_idx = sp.id""", [_SAMPLED, _LONG, _split_sql("long")]))
+FROM long JOIN sp ON long.original_sentence_idx = sp.id""", [_ALL, _LONG, _split_sql("long")]))
 def e4_group_split_rows(spark, sf_dir):
     """E4 + B2/B6/B7 row level: every prepared sentence with its split."""
     return prepared(spark, sf_dir).select(ID, "split", "is_original", "score")
@@ -73,7 +76,7 @@ def e4_group_split_rows(spark, sf_dir):
 SELECT CAST(coalesce(sum(CASE WHEN list_contains(s, 'train') AND list_contains(s, 'val') THEN 1 ELSE 0 END), 0) AS BIGINT) AS train_val,
        CAST(coalesce(sum(CASE WHEN list_contains(s, 'train') AND list_contains(s, 'test') THEN 1 ELSE 0 END), 0) AS BIGINT) AS train_test,
        CAST(coalesce(sum(CASE WHEN list_contains(s, 'val') AND list_contains(s, 'test') THEN 1 ELSE 0 END), 0) AS BIGINT) AS val_test
-FROM per""", [_SAMPLED, _LONG, _split_sql("long"),
+FROM per""", [_ALL, _LONG, _split_sql("long"),
               "per AS (SELECT long.original_sentence_idx, list(DISTINCT split) AS s FROM long JOIN sp ON long.original_sentence_idx = sp.id GROUP BY 1)"]))
 def c10_split_overlaps(spark, sf_dir):
     """Pairwise id overlap between the splits (all zero)."""

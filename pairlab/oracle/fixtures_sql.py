@@ -78,10 +78,10 @@ def _profile_cols() -> str:
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sents": ((), r"""sents AS (
   SELECT doc_id * 1000000 + p AS sid, doc_id, p, tokens FROM (
-    SELECT doc_id, p, regexp_extract_all(piece, '\p{L}+|[^\s\p{L}]') AS tokens FROM (
-      SELECT doc_id, unnest(generate_series(0, len(arr) - 1)) AS p, unnest(arr) AS piece
-      FROM (SELECT doc_id, string_split_regex(text, '[.][ \n]+') AS arr FROM documents)))
-  WHERE len(tokens) BETWEEN 6 AND 40)"""),
+    SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS p, unnest(parts) AS tokens FROM (
+      SELECT doc_id, flatten(list_transform(list_transform(string_split_regex(text, '[.][ \n]+'),
+          lambda piece: regexp_extract_all(piece, '\p{L}+|[^\s\p{L}]')),
+        lambda ts: list_transform(range(0, len(ts), 40), lambda k: ts[k + 1:k + 40]))) AS parts FROM documents)))"""),
     "variants": (("sents",), f"""variants AS (
   SELECT sid, v, tokens, {_SIMP} AS simp_tokens
   FROM (SELECT sid, tokens, hs, unnest(generate_series(0, 9)) AS v

@@ -23,11 +23,14 @@ from pairlab.session import materialize
 ID = "original_sentence_idx"
 
 
-def prepare_sentences(pairs: DataFrame, n_sample: int = 40_000, delta: float = 0.05, k: int = 1,
+def prepare_sentences(pairs: DataFrame, n_sample: int | None = None, delta: float = 0.05, k: int = 1,
                       seed: str = "42", with_features: bool = False, persist: bool = False) -> DataFrame:
-    """Returns original_sentence_idx, text, score (float), is_original, split [, features]."""
-    sampled = sampling.sample_ids(pairs.select(ID), ID, n_sample, seed)
-    p = sampling.semi_join_ids(pairs, sampled, ID, size_bound=n_sample)
+    """Returns original_sentence_idx, text, score (float), is_original, split [, features].
+    With ``n_sample`` only so many ids (md5 order) take part; else all do."""
+    p = pairs
+    if n_sample is not None:
+        sampled = sampling.sample_ids(pairs.select(ID), ID, n_sample, seed)
+        p = sampling.semi_join_ids(pairs, sampled, ID, size_bound=n_sample)
     p = prep.gain_filter(p, delta)
     feats = prep.shared_features(p) if with_features else []
     if k != 1:

@@ -19,7 +19,7 @@ from pairlab.sources.tables import read_table, spread
 
 # Fixed values of the fixture definitions.
 SID_STRIDE = 1_000_000          # sid = doc_id * SID_STRIDE + sentence position
-MIN_TOKENS, MAX_TOKENS = 6, 40  # sentence length window
+MAX_TOKENS = 40                 # a longer sentence goes on in further rows of at most so many tokens
 N_VARIANTS = 10                 # simplifications per original
 FEATURES = ("n_tokens", "char_per_tok", "ttr", "punct_share", "long_share")
 NA_HEX = "08"                   # 2 hex digits below "08": about 3 % of feature values are "n/a"
@@ -29,13 +29,18 @@ LEXICON_SIZE = 200
 
 
 def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sid, doc_id, p, tokens: every sentence of every document with 6..40 tokens."""
+    """sid, doc_id, p, tokens: every sentence of every document, no token left
+    out. A sentence of more than MAX_TOKENS tokens is cut into consecutive rows."""
     docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id")
-    pieces = docs.select("doc_id", F.posexplode(split_sentences("text")).alias("p", "piece"))
-    return (pieces
-            .select((F.col("doc_id") * SID_STRIDE + F.col("p")).alias("sid"), "doc_id", "p",
-                    tokenize("piece").alias("tokens"))
-            .where(F.size("tokens").between(MIN_TOKENS, MAX_TOKENS)))
+
+    def rows(tokens: Column) -> Column:
+        starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / MAX_TOKENS).cast("int")))
+        return F.coalesce(F.transform(starts, lambda k: F.slice(tokens, k * MAX_TOKENS + 1, MAX_TOKENS)),
+                          F.array().cast("array<array<string>>"))
+
+    parts = F.flatten(F.transform(split_sentences("text"), lambda piece: rows(tokenize(piece))))
+    pieces = docs.select("doc_id", F.posexplode(parts).alias("p", "tokens"))
+    return pieces.select((F.col("doc_id") * SID_STRIDE + F.col("p")).alias("sid"), "doc_id", "p", "tokens")
 
 
 def hex_threshold(share: float) -> str:
