@@ -7,6 +7,8 @@ per row.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,22 @@ TOKEN_PATTERN = r"\p{L}+|[^\s\p{L}]"
 CONTENT_POS = ("NOUN", "VERB", "ADJ", "ADV")
 SUBORDINATE_DEPS = ("advcl", "acl", "ccomp", "xcomp", "csubj", "mark")
 PASSIVE_DEPS = ("nsubj:pass", "aux:pass", "csubj:pass")
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿçñÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÇÑ"
-UNACCENTED = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
+
+
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """From the Unicode decompositions: lower-case letters whose base is one
+    letter and those bases, followed by the combining marks (which have no
+    counterpart, so that translate drops them); and ligatures with their letters."""
+    one, many = {}, {}
+    for c in map(chr, [*range(0xC0, 0x2000), *range(0xFB00, 0xFB07)]):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c == c.lower() and base != c and base:
+            (one if len(base) == 1 else many)[c] = base
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c))
+    return "".join(one) + marks, "".join(one.values()), {k: v for k, v in many.items() if ord(k) >= 0xFB00}
+
+
+ACCENTED, UNACCENTED, LIGATURES = _plain_letters()
 
 
 def _c(x) -> Column:
@@ -53,7 +69,10 @@ def gulpease_complexity(tokens) -> Column:
 
 def norm_token(tok) -> Column:
     """Lower, trim, strip accents, drop apostrophes and backticks."""
-    t = F.translate(F.lower(F.trim(_c(tok))), ACCENTED, UNACCENTED)
+    t = F.lower(F.btrim(_c(tok), F.lit(" \t\n\r\x0b\x0c")))
+    for ligature, letters in LIGATURES.items():
+        t = F.replace(t, F.lit(ligature), F.lit(letters))
+    t = F.translate(t, ACCENTED, UNACCENTED)
     return F.translate(t, "'’`", "")
 
 

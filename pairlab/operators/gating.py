@@ -65,10 +65,10 @@ def leakage_count(ids_a: DataFrame, ids_b: DataFrame, key: str = ID) -> DataFram
 
 
 def quadrant(true_col: str = "true_label", pred_col: str = "pred_gate"):
-    """TP / FN / TN / FP from (true, predicted)."""
+    """TP / FN / TN / FP from (true, predicted); null where either is null."""
     t, p = F.col(true_col), F.col(pred_col)
     return (F.when((t == 1) & (p == 1), F.lit("TP")).when((t == 1) & (p == 0), F.lit("FN"))
-            .when((t == 0) & (p == 0), F.lit("TN")).otherwise(F.lit("FP")))
+            .when((t == 0) & (p == 0), F.lit("TN")).when((t == 0) & (p == 1), F.lit("FP")))
 
 
 def crosstab(df: DataFrame, true_col: str = "true_label", pred_col: str = "pred_gate") -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,9 @@ def finished_ids(spark: SparkSession, out_dir: str) -> DataFrame:
     try:
         return read_tolerant(spark, out_dir, T.StructType(OUT_SCHEMA.fields + [T.StructField("run", T.StringType())])) \
             .select("id").distinct()
-    except Exception:  # noqa: BLE001  (no output yet)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], T.StructType([T.StructField("id", T.LongType())]))
 
 

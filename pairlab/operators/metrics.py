@@ -48,8 +48,12 @@ def cdf_from_counts(dist: DataFrame, score: str, n_buckets: int = CDF_BUCKETS) -
     # bounded sketch of the distinct values; a plain aggregate, so it also fills the cache of ``dist``
     row = dist.agg(F.percentile_approx("_s", probs, 4 * n_buckets).alias("b")).first() if n_buckets > 1 else None
     bounds = list(row["b"] or []) if row is not None else []
-    splits = [float("-inf")] + sorted(set(b for b in bounds if b == b)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_s", outputCol="_rb", handleInvalid="keep").transform(dist)
+    inner = sorted(set(b for b in bounds if b == b and abs(b) != float("inf")))
+    if inner:
+        b = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_s", outputCol="_rb",
+                       handleInvalid="keep").transform(dist)
+    else:   # an empty input, or one bucket
+        b = dist.withColumn("_rb", F.lit(0.0))
     tot = b.groupBy("_rb").agg(F.sum("cnt").alias("_bc"), F.sum("pos").alias("_bp"))
     w_prev = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)   # <= n_buckets rows
     w_all = Window.partitionBy()
@@ -133,7 +137,7 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     neg, neg_below = F.col("cnt") - F.col("pos"), F.col("cnt_below") - F.col("pos_below")
     num = F.sum(F.col("pos") * (neg_below + 0.5 * neg))
     p, n = F.first("pos_total"), F.first("n_total") - F.first("pos_total")
-    return c.agg(safe_div(num, p * n).alias("auc"))
+    return c.agg(F.when(p * n > 0, num / (p * n)).alias("auc"))   # one class or no rows: undefined
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Prompt files dropped into an input folder are picked up by a Structured
 Streaming file source; each micro-batch goes through the pluggable batch
-generator (``mapInPandas``) inside ``foreachBatch`` and is appended to the
-output folder. The checkpoint location records which input files were
+generator (``mapInPandas``) inside ``foreachBatch`` and is written to the
+output folder as ``batch=<id>``. The checkpoint location records which input files were
 consumed, so a restarted query continues where it stopped and never
 reprocesses a committed batch.
 """
@@ -28,7 +28,8 @@ def start_generation_stream(spark: SparkSession, input_dir: str, output_dir: str
            .parquet(input_dir))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        generate(batch, factory, "id", "prompt").write.mode("append").parquet(output_dir)
+        # a batch that is replayed after a crash replaces what it had written
+        generate(batch, factory, "id", "prompt").write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
 
     w = src.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -82,3 +82,28 @@ def test_char_levenshtein_matches_bruteforce(spark):
     got = [r[0] for r in df.select(F.levenshtein("a", "b")).collect()]
     want = [int(word_edit_distance_py(list(a), list(b), 1.0)) for a, b in rows]
     assert got == want
+
+
+def test_normal_form_drops_every_accent(spark):
+    from pairlab.functions import align, text
+    tokens = ["Škoda", "ő", "ﬁne", "  L'Aquila\t", "Ångström", "é", "ABC", ""]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select(text.norm_token("t").alias("n"))
+    assert [r.n for r in df.collect()] == [align.norm(t) for t in tokens] == [
+        "skoda", "o", "fine", "laquila", "angstrom", "e", "abc", ""]
+
+
+def test_term_buckets_are_those_of_the_model_stage(spark):
+    from pyspark.ml.feature import HashingTF
+    from pairlab.operators.models import term_buckets
+    terms = ["abcdefgh"[:k] for k in range(1, 9)] + ["è", "perché"]
+    hashing = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18)
+    df = spark.createDataFrame([(t,) for t in terms], "_term string")
+    got = {r._term: r.bucket for r in term_buckets(hashing, df).collect()}
+    assert got == {t: hashing.indexOf(t) for t in terms}
+
+
+def test_empty_inputs_of_ranking_metrics(spark):
+    from pairlab.operators import metrics
+    empty = spark.createDataFrame([], "s double, y int")
+    assert metrics.roc_auc(empty, "s", "y").first().auc is None
+    assert metrics.exact_quantiles(empty, "s", [0.5]).count() == 0
