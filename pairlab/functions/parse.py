@@ -3,9 +3,10 @@
 Cascade per response, with n = number of tokens of its sentence:
   blank                                   -> status "empty"
   blob = first '{' .. last '}' (else the whole text)
-  JSON path: blob parses as an object (single quotes and trailing text after
-    the first complete object are tolerated by the JSON reader), "complex" is
-    missing or a list whose items are all integers or integer strings
+  JSON path: the blob is one JSON object and nothing else, as it stands or
+    mended (single-quoted strings, spurious quotes and braces at the end, text
+    after the last balanced brace); "complex" is missing or a list whose items
+    are all integers or integer strings; of repeated keys the last one counts
                                           -> status "ok"; indices in [0, n),
                                              sorted, unique; reasons as given
   regex path: integers inside `complex: [...]` (else anywhere in the blob) and
@@ -26,7 +27,10 @@ INTEGER = r"\b\d+\b"
 REASONS_REGION = r'(?s)"?motivi"?\s*:\s*\{(.*)\}'
 REASON_PAIR = r"""(?s)["'](\d+)["']\s*:\s*(["'])(.*?)\2"""
 INT_LIKE = r"^\s*-?\d+\s*$"
-CODE_FENCE = r"```(?:json)?"
+SINGLE_QUOTED = r"(?<=[:\{\[,\s])'([^']*?)'(?=[\}\]:,\s])"
+SPURIOUS_END = r"""[}"'\s]+$"""
+#: The JSON reader takes double quotes only.
+STRICT = {"allowSingleQuotes": "false"}
 
 
 def _c(x) -> Column:
@@ -58,21 +62,82 @@ def last_wins_map(keys: Column, values: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _object(text: Column, kind: str) -> Column:
+    """A text that is one JSON object and nothing else as ``kind``, else null
+    (between brackets, the reader refuses whatever follows the object)."""
+    whole = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>", STRICT)
+    return F.when(text.startswith("{") & (F.size(whole) == 1), F.get(whole, 0))
+
+
+def _to_last_balance(text: Column) -> Column:
+    """``text`` up to the last closing brace at which none is open."""
+    pieces = F.split(text, r"\}")
+    ends = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+        F.struct(F.lit(0).alias("open"), F.lit(0).alias("at"), F.lit(0).alias("last")),
+        lambda acc, p: _let(F.struct(
+            (acc["open"] + F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit(""))) - 1).alias("open"),
+            (acc["at"] + F.length(p) + 1).alias("at")), lambda now: F.struct(
+                now["open"].alias("open"), now["at"].alias("at"),
+                F.when(now["open"] == 0, now["at"]).otherwise(acc["last"]).alias("last"))))
+    return _let(ends["last"], lambda e: F.when(e > 0, F.substring(text, F.lit(1), e)).otherwise(text))
+
+
+def _json_text(blob: Column) -> Column:
+    """The first form of the blob that is a JSON object: as it stands, then mended."""
+    def first(b: Column, quoted: Column) -> Column:
+        forms = [b, quoted, F.regexp_replace(b, SPURIOUS_END, "}"), F.regexp_replace(quoted, SPURIOUS_END, "}"),
+                 _to_last_balance(b), _to_last_balance(quoted)]
+        return F.coalesce(*[F.when(_object(f, "map<string,string>").isNotNull(), f) for f in forms])
+
+    return _let(blob, lambda b: _let(F.regexp_replace(b, SINGLE_QUOTED, '"$1"'), lambda q: first(b, q)))
+
+
+def _list_items(text: Column) -> Column:
+    """Items of the (last) "complex" of a JSON object as variants; null if it is not a list."""
+    return F.try_variant_get(_object(text, "struct<complex: variant>")["complex"], "$", "array<variant>")
+
+
+def _is_integer(item: Column) -> Column:
+    return F.schema_of_variant(item) == "BIGINT"
+
+
+def _item_text(item: Column) -> Column:
+    return F.try_variant_get(item, "$", "string")
+
+
+def _last_value(entries: Column, key: str) -> Column:
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
+
+
+def _parsed_json(text: Column, n: Column) -> Column:
+    """struct<ok, complex, motivi> of a JSON object's text."""
+    def read(entries: Column, items: Column) -> Column:
+        listed = F.forall(items, lambda x: F.coalesce(
+            _is_integer(x) | ((F.schema_of_variant(x) == "STRING") & _item_text(x).rlike(INT_LIKE)), F.lit(False)))
+        missing = ~F.exists(entries, lambda e: e["key"] == "complex")
+        indices = _in_range(F.transform(items, lambda x: _item_text(x).try_cast("bigint")), n)
+        reasons = _last_value(entries, "motivi")
+        given = _let(F.when(reasons.startswith("{"), F.from_json(reasons, "map<string,string>", STRICT)),
+                     lambda m: last_wins_map(F.map_keys(m), F.map_values(m)))
+        return F.struct(F.coalesce(missing | listed, F.lit(False)).alias("ok"),
+                        F.when(missing, F.array().cast("array<bigint>")).otherwise(indices).alias("complex"),
+                        F.coalesce(given, F.create_map().cast("map<string,string>")).alias("motivi"))
+
+    return _let(text, lambda t: _let(F.map_entries(_object(t, "map<string,string>")),
+                                     lambda e: _let(_list_items(t), lambda items: read(e, items))))
+
+
 def extract_annotation(raw, n) -> Column:
     """struct<complex array<bigint>, motivi map<string,string>, status string>."""
     raw, n = _c(raw), _c(n)
     blob = isolate_blob(raw)
-    top = F.from_json(blob, "map<string,string>")
-    cx_txt = top["complex"]
-    cx_arr = F.from_json(cx_txt, "array<string>")
-    cx_missing = top.isNotNull() & ~F.map_contains_key(top, "complex")
-    cx_ok = cx_txt.startswith("[") & cx_arr.isNotNull() & F.coalesce(
-        F.forall(cx_arr, lambda x: F.coalesce(x.rlike(INT_LIKE), F.lit(False))), F.lit(False))
-    json_ok = top.isNotNull() & (cx_missing | cx_ok)
-    json_complex = F.when(cx_missing, F.array().cast("array<bigint>")).otherwise(_in_range(_ints(cx_arr), n))
-    mt_txt = top["motivi"]
-    json_motivi = F.when(mt_txt.startswith("{"), F.from_json(mt_txt, "map<string,string>"))
-    json_motivi = F.coalesce(json_motivi, F.create_map().cast("map<string,string>"))
+    parsed = _parsed_json(_json_text(blob), n)
 
     # regex fallback
     region = F.when(blob.rlike(COMPLEX_LIST), F.regexp_extract(blob, COMPLEX_LIST, 1)).otherwise(blob)
@@ -88,24 +153,25 @@ def extract_annotation(raw, n) -> Column:
     found = (F.size(rx_idx) > 0) | (F.size(rx_motivi) > 0)
 
     empty = raw.isNull() | raw.rlike(r"^\s*$")
-    status = (F.when(empty, F.lit("empty")).when(json_ok, F.lit("ok"))
-              .when(found, F.lit("recovered_regex")).otherwise(F.lit("unparsable")))
-    complex_ = (F.when(status == "ok", json_complex).when(status == "recovered_regex", rx_complex))
-    motivi = (F.when(status == "ok", json_motivi).when(status == "recovered_regex", rx_motivi))
-    return F.struct(complex_.alias("complex"), motivi.alias("motivi"), status.alias("status"))
+
+    def result(json: Column) -> Column:
+        status = (F.when(empty, F.lit("empty")).when(json["ok"], F.lit("ok"))
+                  .when(found, F.lit("recovered_regex")).otherwise(F.lit("unparsable")))
+        return _let(status, lambda s: F.struct(
+            F.when(s == "ok", json["complex"]).when(s == "recovered_regex", rx_complex).alias("complex"),
+            F.when(s == "ok", json["motivi"]).when(s == "recovered_regex", rx_motivi).alias("motivi"),
+            s.alias("status")))
+
+    return _let(parsed, result)
 
 
 def strict_annotation(raw, n) -> Column:
     """G23 (older strict parser): strip code fences, take the text from the first
-    '{' to the last '}', parse it strictly (double quotes, balanced braces, no
-    trailing text); integer items of ``complex`` in [0, n) are kept, anything
-    unparsable gives an empty list."""
+    '{' to the last '}', parse it strictly (one object in double quotes, no
+    other text); integer items of ``complex`` in [0, n) are kept, strings are
+    not; anything unparsable gives an empty list."""
     r = F.regexp_replace(F.trim(_c(raw)), r"(?m)^```(?:json)?|```$", "")
     blob = F.regexp_extract(F.trim(r), r"(?s)(\{.*\})", 1)
-    balanced = (F.length(blob) - F.length(F.regexp_replace(blob, r"\{", ""))) == \
-        (F.length(blob) - F.length(F.regexp_replace(blob, r"\}", "")))
-    top = F.from_json(blob, "map<string,string>", {"allowSingleQuotes": "false"})
-    arr = F.from_json(top["complex"], "array<string>")
-    ints = F.transform(F.filter(arr, lambda x: x.rlike(r"^-?\d+$")), lambda x: x.cast("bigint"))
-    ok = balanced & top["complex"].startswith("[") & arr.isNotNull()
-    return F.when(ok, F.filter(ints, lambda i: (i >= 0) & (i < _c(n)))).otherwise(F.array().cast("array<bigint>"))
+    ints = _let(blob, lambda b: F.transform(F.filter(_list_items(b), _is_integer), lambda x: F.try_variant_get(
+        x, "$", "bigint")))
+    return F.coalesce(F.filter(ints, lambda i: (i >= 0) & (i < _c(n))), F.array().cast("array<bigint>"))

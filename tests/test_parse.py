@@ -15,6 +15,16 @@ CORPUS = [
     ("   ", "empty", None, None),
     (None, "empty", None, None),
     ("Non so rispondere.", "unparsable", None, None),
+    ('{"a": 1} {"complex": [2], "motivi": {"2": "x"}}', "recovered_regex", [2], {"2": "x"}),
+    ('{"complex": [3], "complex": [1]}', "ok", [1], {}),
+    ('{"complex": [1], "motivi": {"1": "a", "1": "b"}}', "ok", [1], {"1": "b"}),
+    ('{"complex": [1, "2"], "motivi": {"1": "usa { qui"}}', "ok", [1, 2], {"1": "usa { qui"}),
+    ('{"complex": "[1, 2]"}', "recovered_regex", [1, 2], {}),
+    ('{"complex": null}', "unparsable", None, None),
+    ('{"complex": [1, 2.5]}', "recovered_regex", [1, 2, 5], {}),
+    ('{"complex": [4], "motivi": {"4": "a"}} "}', "ok", [4], {"4": "a"}),
+    ('{"complex": [4], "motivi": {"4": "tronca', "recovered_regex", [4], {}),
+    ('{"complex": [4]} nota } fine }', "ok", [4], {}),
 ]
 
 
@@ -29,7 +39,9 @@ def test_cascade(spark):
 
 
 def test_strict_parser(spark):
-    rows = [('```json\n{"complex": [2, 3, 9]}\n```',), ("{'complex': [1]}",), ('{"complex": [1.5, 2]}',)]
+    rows = [('```json\n{"complex": [2, 3, 9]}\n```',), ("{'complex': [1]}",), ('{"complex": [1.5, 2]}',),
+            ('{"complex": ["1", 2]}',), ('{"complex":[1]} {}',), ('{"complex":[1],"motivi":{"1":"usa { qui"}}',),
+            ('{"complex": [3], "complex": [1]}',), ('{"complex": [1',), ('{"motivi": {}}',), (None,), ("",)]
     df = spark.createDataFrame(rows, "s string")
     got = [list(r[0]) for r in df.select(strict_annotation("s", F.lit(6))).collect()]
-    assert got == [[2, 3], [], [2]]
+    assert got == [[2, 3], [], [2], [2], [], [1], [1], [], [], [], []]
