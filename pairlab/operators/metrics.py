@@ -141,13 +141,18 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman correlation = Pearson correlation of average ranks.
-    Rows are joined to their value's rank (AQE splits a hot value's join task)."""
+    """Spearman correlation = Pearson correlation of average ranks, over
+    distinct (x, y) with their counts: a value that many rows share meets its
+    rank once for each partner value. Undefined without spread in x or y."""
     d = (df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
          .persist(StorageLevel.MEMORY_AND_DISK))   # two rank tables and the pairing read it
     rx = average_ranks(d, "_x", "_rx")
     ry = average_ranks(d, "_y", "_ry")
-    return d.join(rx, "_x").join(ry, "_y").agg(F.corr("_rx", "_ry").alias("spearman"))
+    mean = (d.count() + 1) / 2   # of ranks, ties included
+    dx, dy = F.col("_rx") - F.lit(mean), F.col("_ry") - F.lit(mean)
+    pairs = d.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n")).join(rx, "_x").join(ry, "_y")
+    return pairs.agg(F.try_divide(F.sum(F.col("_n") * dx * dy), F.sqrt(
+        F.sum(F.col("_n") * dx * dx)) * F.sqrt(F.sum(F.col("_n") * dy * dy))).alias("spearman"))
 
 
 def regression_errors(df: DataFrame, y: str, pred: str) -> DataFrame:
