@@ -334,6 +334,24 @@ def test_weighted_fingerprints(table, range_rows, request, monkeypatch):
     assert abs(np.mean(errors)) < 0.02 and np.abs(errors).mean() < 0.05
 
 
+def test_likeness_error_of_the_default_samples(spark):
+    """Pairs of known likeness under the number of samples that the query uses:
+    for 0.8 and 0.6, few are misread by more than 0.1."""
+    pairs = []
+    for k in range(200):
+        for same, own in ((80, 10), (60, 20)):  # likeness same / (same + 2 * own)
+            a = [f"w{k}x{j}" for j in range(same + own)]
+            b = a[:same] + [f"v{k}x{j}" for j in range(own)]
+            pairs.append((len(pairs), " ".join(a), " ".join(b), same / (same + 2 * own)))
+    df = spark.createDataFrame(pairs, "key long, a string, b string, want double")
+    got = weighted_minhash.paired_fingerprints(df, ["key", "want"], [(F.col("a"), True, False), (F.col("b"), False, True)])
+    near = weighted_minhash.likeness(F.col("first"), F.col("second"), weighted_minhash.SAMPLES)
+    rows = got.select("want", near.alias("near"), F.size("first").alias("n")).collect()
+    assert len(rows) == len(pairs) and {r.n for r in rows} == {weighted_minhash.SAMPLES}
+    errors = np.array([r.near - r.want for r in rows])
+    assert abs(errors.mean()) < 0.01 and (np.abs(errors) > 0.1).mean() < 0.06
+
+
 # -- language model
 
 @pytest.mark.parametrize("table", ["docs", "odd", "nothing"])
