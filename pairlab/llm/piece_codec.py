@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -124,8 +125,7 @@ class Codec:
     bytes_of: dict[int, int] = field(default_factory=dict)
     byte_id: dict[int, int] = field(default_factory=dict)
     splits: re.Pattern | None = None
-    cache: dict[str, str] = field(default_factory=dict)
-    id_texts: dict[str, str] = field(default_factory=dict)
+    cache: dict[str, tuple[str, bytes]] = field(default_factory=dict)
     surface: list[str | None] = field(default_factory=list)
 
     @classmethod
@@ -156,7 +156,6 @@ class Codec:
         codec.ranks = {piece: scores[i] for piece, i in codec.merges.items()}
         codec.surface = [None if kind == BYTE else "" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else
                          piece.replace(SPACE, " ") for piece, kind in zip(pieces, types, strict=True)]
-        codec.id_texts = {piece: str(i) for piece, i in codec.merges.items()}
         # no merge crosses the place before a space sign, if it only opens pieces
         if not any(SPACE in p.lstrip(SPACE) for p in codec.merges):
             crossing = re.compile(rf"\n|{LETTER}(?!{LETTER})(?=.)", re.DOTALL)
@@ -210,12 +209,20 @@ class Codec:
         return Normalised(out.decode(), [*origin, end])
 
     def _plain(self, text: str) -> Normalised:
-        """The empty map: only spaces change their sign; origins are computed
-        when they are asked for."""
+        """The empty map: only spaces change their sign."""
         if not text:
             return Normalised("", [0])
         out = (" " if self.dummy_prefix else "") + text
-        return Normalised(out.replace(" ", SPACE) if self.escape else out, _PlainOrigin(text, self))
+        return Normalised(out.replace(" ", SPACE) if self.escape else out, self._plain_origin(text))
+
+    def _plain_origin(self, text: str) -> np.ndarray:
+        """Origins under the empty map, from the lengths of the source characters."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        ends = np.cumsum(sizes)
+        own = np.where(points == 32, 3, sizes) if self.escape else sizes
+        prefix = (3 if self.escape else 1) if self.dummy_prefix else 0
+        return np.concatenate([np.zeros(prefix, np.int64), np.repeat(ends - sizes, own), ends[-1:]])
 
     # -- merging
 
@@ -278,42 +285,45 @@ class Codec:
             return [own]
         return [self.byte_id.get(b, self.unknown) for b in symbol.encode()] if self.byte_id else [self.unknown]
 
-    def _new_chunk(self, chunk: str) -> str:
-        """Ids of a chunk, comma-joined."""
-        symbols = self._merge(chunk)
-        ids = list(map(self.id_texts.get, symbols))
-        if None in ids:
-            ids = [str(i) for s in symbols for i in self._symbol_ids(s)]
-        ids = ",".join(ids)
+    def _new_chunk(self, chunk: str) -> tuple[str, bytes]:
+        """Ids of a chunk, comma-joined, and for each id where its symbol begins
+        and ends in the chunk's bytes (pairs of 32-bit numbers)."""
+        ids, spans, at = [], array("i"), 0
+        for symbol in self._merge(chunk):
+            own, end = self._symbol_ids(symbol), at + len(symbol.encode())
+            ids += own
+            spans.extend((at, end) * len(own))
+            at = end
+        found = ",".join(map(str, ids)), spans.tobytes()
         if len(chunk) <= CACHE_CHARS and len(self.cache) < CACHE_ENTRIES:
-            self.cache[chunk] = ids
-        return ids
+            self.cache[chunk] = found
+        return found
 
-    def id_text(self, normalised: str) -> str:
-        """All ids of a normalised text, comma-joined."""
-        chunks = self._chunks(normalised)
+    def located(self, text: str) -> tuple[str, np.ndarray]:
+        """All ids, comma-joined, and the source bytes (begin, end) of each. The
+        bytes of a character without a piece of its own all span that character."""
+        normal = self.normalise(text)
+        chunks = self._chunks(normal.text)
+        if not chunks:
+            return "", np.zeros((0, 2), np.int32)
         parts = list(map(self.cache.get, chunks))
         if None in parts:
             new = self._new_chunk
             parts = [new(chunk) if part is None else part for chunk, part in zip(chunks, parts, strict=True)]
-        return ",".join(parts)
+        places = np.frombuffer(b"".join([spans for _, spans in parts]), np.int32).reshape(-1, 2)
+        counts = np.fromiter((len(spans) for _, spans in parts), np.int64, len(parts)) // 8
+        sizes = places[np.cumsum(counts) - 1, 1].astype(np.int64)  # a chunk ends with its last symbol
+        places = places + np.repeat(np.cumsum(sizes) - sizes, counts)[:, None]
+        return ",".join([ids for ids, _ in parts]), np.asarray(normal.origin)[places].astype(np.int32)
 
     def encode(self, text: str) -> list[int]:
-        ids = self.id_text(self.normalise(text).text)
+        ids, _ = self.located(text)
         return [int(i) for i in ids.split(",")] if ids else []
 
     def encode_spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, begin, end) of each piece in source bytes. The bytes of a
-        character without a piece of its own all span that character."""
-        normal = self.normalise(text)
-        out, at = [], 0
-        for chunk in self._chunks(normal.text):
-            for symbol in self._merge(chunk):
-                size = len(symbol.encode())
-                begin, end = normal.origin[at], normal.origin[at + size]
-                out += [(i, begin, end) for i in self._symbol_ids(symbol)]
-                at += size
-        return out
+        """(id, begin, end) of each piece in source bytes."""
+        ids, spans = self.located(text)
+        return [(int(i), *span) for i, span in zip(ids.split(","), spans.tolist(), strict=True)] if ids else []
 
     # -- decoding
 
@@ -355,23 +365,6 @@ import codecs  # noqa: E402
 codecs.register_error("byte_replace", _byte_replace)
 
 
-class _PlainOrigin:
-    """Origins under the empty map, from the lengths of the source characters."""
-
-    def __init__(self, text: str, codec: Codec):
-        self.text, self.codec, self.table = text, codec, None
-
-    def __getitem__(self, k: int) -> int:
-        if self.table is None:
-            self.table, at = ([0] * (3 if self.codec.escape else 1) if self.codec.dummy_prefix else []), 0
-            for c in self.text:
-                size = len(c.encode())
-                self.table += [at] * (3 if c == " " and self.codec.escape else size)
-                at += size
-            self.table.append(at)
-        return self.table[k]
-
-
 def model_bytes(path: str) -> bytes:
     """The model file (0.5 MB, a fixed size), read by the driver and broadcast."""
     with open(path, "rb") as f:
@@ -413,26 +406,33 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     return rows.mapInArrow(run, schema)
 
 
-def encoding_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row, through
-    the same normalisation, merges and decoding, without the pieces."""
+def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256) for every
+    row, from the pieces that encode_documents gives. spans_sha256 is that of
+    each piece's begin and end as little-endian 32-bit numbers."""
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-                           T.StructField("decoded_sha256", T.StringType())])
+                           T.StructField("decoded_sha256", T.StringType()), T.StructField("spans_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(model.value)
         for b in batches:
-            counts, ids_sha, decoded_sha = [], [], []
+            counts, ids_sha, decoded_sha, spans_sha = [], [], [], []
             for x in b.column(1):
-                ids = codec.id_text(codec.normalise(x.as_py() or "").text)
+                ids, spans = codec.located(x.as_py() or "")
                 numbers = list(map(int, ids.split(","))) if ids else []
                 counts.append(len(numbers))
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(codec.decode(numbers).encode()).hexdigest())
+                spans_sha.append(hashlib.sha256(spans.astype("<i4").tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha),
-                                              pa.array(decoded_sha)], names=schema.names)
+                                              pa.array(decoded_sha), pa.array(spans_sha)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def encoding_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``piece_digests``."""
+    return piece_digests(docs, model_path, id_col, text_col).drop("spans_sha256")

@@ -178,5 +178,5 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_piece_codec")
 def piece_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded to pieces and decoded."""
-    return piece_codec.encoding_digests(_table(spark, sf_dir, "documents"), PIECES)
+    """Every document encoded to pieces with their source spans, and decoded."""
+    return piece_codec.piece_digests(_table(spark, sf_dir, "documents"), PIECES)

@@ -482,6 +482,24 @@ def test_pieces_against_the_library(docs, odd, nothing):
                                                     own.encode(text, return_type="proto").pieces]
 
 
+def test_query_records_the_span_of_every_piece(spark):
+    """The registered query's digest is that of the pieces' source bytes."""
+    import sentencepiece
+    from pairlab.llm.queries import QUERIES
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {r.doc_id: r.spans_sha256 for r in QUERIES["op10_piece_codec"](spark, SMALL).collect()}
+    compared = 0
+    for i, t in texts(df):
+        pieces = own.encode(t, return_type="proto").pieces
+        if any(own.is_byte(p.id) for p in pieces):
+            continue  # byte pieces span their character here, see README
+        spans = [x for p in pieces for x in (p.begin, p.end)]
+        assert got[i] == hashlib.sha256(struct.pack(f"<{len(spans)}i", *spans)).hexdigest()
+        compared += 1
+    assert compared > 10
+
+
 def test_compiled_character_map():
     """The published NFKC map of the library: same normal form, and origins
     that rise and end at the text's end."""
