@@ -4,8 +4,8 @@ Words are counted over all training documents. The commonest ones (at most
 ``vocabulary``, a fixed bound) are symbols of their own, all others share the
 symbol RARE and are told apart by their smoothed frequency; END closes every
 text. Latent states are trained by Baum-Welch: expected counts are summed over
-the partitions of all training documents in each pass, starting from states
-fitted on a bounded sample. A text's probability is the exact likelihood of its
+the partitions of all training documents, whole texts, in each pass, starting
+from a seed that reads no document. A text's probability is the exact likelihood of its
 symbols by the scaled forward recursion, times the probability of each rare
 word among the rare ones, so that all texts' probabilities sum to one.
 
@@ -35,9 +35,7 @@ SMOOTHING = 0.1
 VOCABULARY = 40_000
 STATES = 8
 #: Full passes over all training documents.
-PASSES = 2
-#: Starting point: documents of the sample, symbols of each, rounds.
-SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_ROUNDS = 1_500, 512, 15
+PASSES = 17
 #: Training runs over stretches of this many symbols; scoring over whole texts.
 STRETCH = 256
 #: Symbols processed in step at once.
@@ -245,25 +243,12 @@ def _pass(encoded: DataFrame, model: Model, overall: np.ndarray) -> Model:
     return re_estimated(counts, overall)
 
 
-def _starting_model(encoded: DataFrame, overall: np.ndarray, states: int, trained: int) -> Model:
-    """States fitted on a sample of training documents (one in so many by a
-    hash of the row, so that about SAMPLE_DOCS come together whatever the
-    table's size), from emissions that differ by fixed random factors."""
-    one_in = max(1, trained // SAMPLE_DOCS)
-    sample = (encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0))
-              .select("row", F.slice("symbols", 1, SAMPLE_SYMBOLS).alias("symbols")).collect())
-    sample.sort(key=lambda r: r.row)
-    random = np.random.default_rng(7)
-    emit = overall[:, None] * random.gamma(2.0, size=(len(overall), states))
+def seed_model(overall: np.ndarray, states: int) -> Model:
+    """The model before the first pass: emissions that differ from the overall
+    frequencies by fixed random factors, and states that mostly stay."""
+    emit = overall[:, None] * np.random.default_rng(7).gamma(2.0, size=(len(overall), states))
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    model = Model(np.full(states, 1 / states), move, emit / emit.sum(0))
-    sequences = [s for r in sample for s in stretches(np.array(r.symbols, np.int32))]
-    opens = np.array([k == 0 for r in sample for k in range(-(-len(r.symbols) // STRETCH))], bool)
-    for _ in range(SAMPLE_ROUNDS if sequences else 0):
-        counts = Expected.zero(len(overall), states)
-        expected_counts(model, sequences, opens, counts)
-        model = re_estimated(counts, overall)
-    return model
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES,
@@ -289,7 +274,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     overall /= below
     encoded = stored(_encode(rows, {w: k for k, w in enumerate(frequent)}, rare, end), "symbols")
     shares = overall / overall.sum()
-    model = _starting_model(encoded, shares, states, trained)
+    model = seed_model(shares, states)
     for _ in range(passes if trained else 0):
         model = _pass(encoded, model, shares)
     known = np.array([*(c > 0 for c in frequent.values()), False, trained > 0])

@@ -379,6 +379,37 @@ def test_hmm_base(table, request):
         assert sum(r.score for r in held) > sum(r.base_score for r in held) - 50
 
 
+def test_hmm_rounds_read_every_training_document_whole(spark, monkeypatch):
+    """The model that scores is that of all rounds over all stretches of all
+    training documents; what tells the states apart stands late in the texts."""
+    rng, seen = np.random.default_rng(3), {"passes": 0}
+    rows = [(k, " ".join(["same"] * 600 + [f"w{x}" for x in rng.integers(20 * (k % 2), 20 + 20 * (k % 2), 400)]))
+            for k in range(30)]
+    one_pass, scored = hmm_lm._pass, hmm_lm._scored
+
+    def counted(encoded, model, overall):
+        seen.update(passes=seen["passes"] + 1, overall=overall)
+        return one_pass(encoded, model, overall)
+
+    def kept(encoded, model, *rest):
+        seen.update(model=model, encoded=encoded)
+        return scored(encoded, model, *rest)
+
+    monkeypatch.setattr(hmm_lm, "_pass", counted)
+    monkeypatch.setattr(hmm_lm, "_scored", kept)
+    hmm_lm.score_documents(spark.createDataFrame(rows, SCHEMA), states=3, vocabulary=30)
+    assert seen["passes"] == hmm_lm.PASSES == 17
+    parts = [hmm_lm.stretches(np.array(r.symbols, np.int32)) for r in seen["encoded"].where("not held_out").collect()]
+    opens = np.array([k == 0 for p in parts for k in range(len(p))])
+    model = hmm_lm.seed_model(seen["overall"], 3)
+    for _ in range(17):
+        counts = hmm_lm.Expected.zero(len(model.emit), 3)
+        hmm_lm.expected_counts(model, [x for p in parts for x in p], opens, counts)
+        model = hmm_lm.re_estimated(counts, seen["overall"])
+    for name in ("start", "move", "emit"):
+        assert np.allclose(getattr(model, name), getattr(seen["model"], name), atol=1e-6)
+
+
 def test_forward_and_baum_welch_by_enumeration():
     from itertools import product
     rng = np.random.default_rng(5)
