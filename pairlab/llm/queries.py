@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import (exact_dedup, hmm_lm, packing, piece_codec, secret_scan, simhash_trie, token_rollup, toxicity,
-                         warc_zip, weighted_minhash)
+from pairlab.llm import (exact_dedup, hmm_lm, html_consensus, packing, piece_codec, secret_scan, simhash_trie,
+                         spelling_variants, token_alignment, token_rollup, toxicity, warc_zip, weighted_minhash)
 from pairlab.llm.storage import scratch_folder, stored
 from pairlab.session import ship_package
 
@@ -180,3 +180,53 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def piece_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to pieces with their source spans, and decoded."""
     return piece_codec.piece_digests(_table(spark, sf_dir, "documents"), PIECES)
+
+
+@_query("op11_token_alignment")
+def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of both vocabularies aligned, with corpus-wide pair counts."""
+    return token_alignment.align_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+#: The runs' checksums by the table form of crc32 over their UTF-8 bytes; near words share what is left when one
+#: letter at the same place is deleted, or one is what is left of the other.
+VARIANTS_SQL = r"""
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (SELECT CAST(doc_id AS VARCHAR) || ':' AS id, unnest(regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS c FROM runs GROUP BY ALL),
+bytes AS (SELECT run, c, flatten(list_transform(string_split(id || run, ''), lambda x: CASE WHEN unicode(x) < 128
+        THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), 128 + (unicode(x) & 63)] END)) AS b
+    FROM counted),
+hashed AS (SELECT run, c, xor(list_reduce(b, lambda h, x: xor(h >> 8, t[xor(h & 255, x) + 1]), 4294967295), 4294967295) AS h
+    FROM bytes, crc_table),
+edited AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) ||
+        substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+shorter AS (SELECT DISTINCT c.word AS a, c.n AS an, w.word AS b, w.n AS bn FROM cuts c JOIN words w ON c.cut = w.word),
+pairs AS (SELECT a, b, bn FROM shorter UNION SELECT b, a, an FROM shorter UNION
+    SELECT x.word, y.word, y.n FROM cuts x JOIN cuts y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word),
+best AS (SELECT a, count(*) AS n_near, min({'less': -bn, 'near': b}) AS best FROM pairs GROUP BY a),
+rows AS (SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+        CASE WHEN -best.less >= 10 * n THEN best.near END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n
+    FROM words LEFT JOIN best ON word = a),
+walk AS (SELECT word, word AS root, form AS ahead FROM rows
+    UNION ALL SELECT walk.word, walk.ahead, rows.form FROM walk JOIN rows ON walk.ahead = rows.word)
+SELECT r.word, r.form, w.root, r.n, r.n_near, CAST(r.form_n AS BIGINT) AS form_n
+FROM rows r JOIN walk w ON w.word = r.word WHERE w.ahead IS NULL
+"""
+
+
+@_query("op12_spelling_variants", VARIANTS_SQL)
+def spelling_variants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their near words, forms and roots."""
+    return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_html_extraction")
+def html_extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's consensus path."""
+    return html_consensus.extract_pages(_table(spark, sf_dir, "pages"))
