@@ -35,9 +35,11 @@ SMOOTHING = 0.1
 VOCABULARY = 40_000
 STATES = 8
 #: Full passes over all training documents.
-PASSES = 17
+PASSES = 5
 #: Training runs over stretches of this many symbols; scoring over whole texts.
 STRETCH = 256
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 300_000
 #: Symbols processed in step at once.
 BATCH_SYMBOLS = 1 << 18
 #: Weight of the words' overall frequencies in each state's emissions.
@@ -101,29 +103,34 @@ def expected_counts(model: Model, sequences: list[np.ndarray], opens: np.ndarray
     those that begin a text (others begin in the states' long-run shares)."""
     shares = np.linalg.matrix_power(model.move, 64)[0]
     states = len(shares)
+    # emissions relative to their symbol's highest keep 32-bit numbers in range; the factor cancels
+    emit = (model.emit / model.emit.max(1, keepdims=True)).astype(np.float32)
+    move = model.move.astype(np.float32)
     for rows, table, lengths in padded(sequences):
         width, first = len(table), opens[rows]
         active = np.array([int(np.searchsorted(-lengths, -t, "left")) for t in range(width)])
-        alphas, scales = [], []
-        alpha = np.where(first[:, None], model.start, shares) * model.emit[table[0]]
+        alphas, scales, seen = [], [], [emit[table[t, :active[t]]] for t in range(width)]
+        alpha = np.where(first[:, None], model.start, shares).astype(np.float32) * seen[0]
         for t in range(width):
             if t:
-                alpha = (alpha[:active[t]] @ model.move) * model.emit[table[t, :active[t]]]
+                alpha = (alpha[:active[t]] @ move) * seen[t]
             scale = alpha.sum(1, keepdims=True)
             alpha = alpha / scale
             alphas.append(alpha)
             scales.append(scale)
-        beta = np.ones((active[-1], states))
+        beta = np.ones((active[-1], states), np.float32)
         gammas, moves = [alphas[-1] * beta], np.zeros((states, states))
         for t in range(width - 2, -1, -1):
             n = active[t + 1]
-            ahead = model.emit[table[t + 1, :n]] * beta / scales[t + 1]
+            ahead = seen[t + 1] * beta / scales[t + 1]
             moves += alphas[t][:n].T @ ahead
-            beta = np.concatenate([ahead @ model.move.T, np.ones((active[t] - n, states))])
+            beta = ahead @ move.T
+            if active[t] > n:
+                beta = np.concatenate([beta, np.ones((active[t] - n, states), np.float32)])
             gammas.append(alphas[t] * beta)
         gammas.reverse()
         into.move += moves * model.move
-        into.start += gammas[0][first].sum(0)
+        into.start += gammas[0][first].sum(0, dtype=np.float64)
         gamma, symbols = np.concatenate(gammas), np.concatenate([table[t, :active[t]] for t in range(width)])
         for k in range(states):
             into.emit[:, k] += np.bincount(symbols, gamma[:, k], minlength=len(into.emit))
@@ -146,9 +153,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the rows (text) that are not held out, without END."""
-    words = docs.where(~F.col("held_out")).select(F.explode(F.split(normalised(F.col("text")), WHITE)).alias("word"))
-    return words.where("word != ''").groupBy("word").agg(F.count("*").alias("c"))
+    """(word, c) over the rows (text) that are not held out, without END: counted
+    within each task, COUNTED words at a time, then over the tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            words = pa.array([w.decode() for w in counts], pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], names=["word", "c"])
+
+        for b in batches:
+            for x in b.column(0):
+                counts.update((x.as_py() or "").encode("utf-8").lower().split())
+                if len(counts) > COUNTED:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    counted = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "word string, c long")
+    return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def frequent_words(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
@@ -169,12 +192,12 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]
 
 def _encode(docs: DataFrame, symbol_of: dict[bytes, int], rare: int, end: int) -> DataFrame:
     """(row, doc_id, held_out, symbols, rare_words) of each document; row tells
-    rows apart; rare_words: array of (word, n)."""
+    rows apart; symbols: 32-bit numbers, packed; rare_words: array of (word, n)."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(symbol_of)
     schema = T.StructType([
         T.StructField("row", T.LongType()), docs.schema["doc_id"], docs.schema["held_out"],
-        T.StructField("symbols", T.ArrayType(T.IntegerType())),
+        T.StructField("symbols", T.BinaryType()),
         T.StructField("rare_words", T.ArrayType(T.StructType([
             T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType())])))])
     rare_arrow = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
@@ -184,13 +207,12 @@ def _encode(docs: DataFrame, symbol_of: dict[bytes, int], rare: int, end: int) -
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                symbols, offsets, names, numbers, places = [], [0], [], [], [0]
+                symbols, names, numbers, places = [], [], [], [0]
                 for x in part.column(2):
                     words = (x.as_py() or "").encode("utf-8").lower().split()
                     ids = np.fromiter((get(w, rare) for w in words), np.int32, len(words))
                     unknown = Counter(words[k] for k in np.flatnonzero(ids == rare).tolist())
-                    symbols += [ids, np.array([end], np.int32)]
-                    offsets.append(offsets[-1] + len(ids) + 1)
+                    symbols.append(np.append(ids, np.int32(end)).tobytes())
                     names += [w.decode() for w in unknown]
                     numbers += unknown.values()
                     places.append(len(names))
@@ -198,7 +220,7 @@ def _encode(docs: DataFrame, symbol_of: dict[bytes, int], rare: int, end: int) -
                                                      names=["word", "n"])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + part.num_rows)), part.column(0), part.column(1),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(symbols))),
+                    pa.array(symbols, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(places, pa.int32()), structs).cast(rare_arrow)],
                     names=schema.names)
                 row += part.num_rows
@@ -206,9 +228,8 @@ def _encode(docs: DataFrame, symbol_of: dict[bytes, int], rare: int, end: int) -
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def _sequences(column: pa.ListArray) -> list[np.ndarray]:
-    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+def _sequences(column: pa.BinaryArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int32) for x in column]
 
 
 def _pass(encoded: DataFrame, model: Model, overall: np.ndarray) -> Model:
