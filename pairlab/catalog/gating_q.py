@@ -11,7 +11,7 @@ from pairlab.functions.text import lexical_overlap
 from pairlab.operators import gating as G
 from pairlab.operators import sampling
 from pairlab.oracle.fixtures_sql import with_fixtures
-from pairlab.oracle.gating_sql import GATING_BASE, ROUTED, gate_sql, sample_sql
+from pairlab.oracle.gating_sql import ALL_ROWS, GATING_BASE, ROUTED, gate_sql, sample_sql
 from pairlab.plans import gating as L3
 from pairlab.sources import fixtures
 
@@ -58,11 +58,11 @@ def e6_stratified_sample(spark, sf_dir):
 
 
 def _quad(spark, sf_dir):
-    return L3.gated_sample(pairs_table(spark, sf_dir), prepared(spark, sf_dir))
+    return L3.gated_sample(pairs_table(spark, sf_dir), prepared(spark, sf_dir), n_sample=None)
 
 
 @register("b13_d3_gate_quadrants", _sql("""
-SELECT quadrante, true_label, pred_gate, CAST(count(*) AS BIGINT) AS n FROM quad GROUP BY ALL""", [sample_sql(), gate_sql()]))
+SELECT quadrante, true_label, pred_gate, CAST(count(*) AS BIGINT) AS n FROM quad GROUP BY ALL""", [ALL_ROWS, gate_sql()]))
 def b13_d3_gate_quadrants(spark, sf_dir):
     """D13 on val + B13: gate decision with the calibrated threshold, quadrant counts."""
     q = _quad(spark, sf_dir)
@@ -71,7 +71,7 @@ def b13_d3_gate_quadrants(spark, sf_dir):
 
 @register("d3_crosstab", _sql("""
 SELECT true_label, CAST(count(*) FILTER (WHERE pred_gate = 0) AS BIGINT) AS pred_0,
-  CAST(count(*) FILTER (WHERE pred_gate = 1) AS BIGINT) AS pred_1 FROM quad GROUP BY true_label""", [sample_sql(), gate_sql()]))
+  CAST(count(*) FILTER (WHERE pred_gate = 1) AS BIGINT) AS pred_1 FROM quad GROUP BY true_label""", [ALL_ROWS, gate_sql()]))
 def d3_crosstab(spark, sf_dir):
     """D3: true label x gate decision."""
     return G.crosstab(_quad(spark, sf_dir))
@@ -87,10 +87,10 @@ def g14_b15_overlap_filter(spark, sf_dir):
 
 @register("g13_sari_rows", _sql("""
 SELECT gid, round(sari_A, 6) AS sari_A, round(sari_B, 6) AS sari_B, round(ed_A, 6) AS ed_A, round(ed_B, 6) AS ed_B,
-  out_B FROM scored""", [sample_sql(), gate_sql(), ROUTED]))
+  out_B FROM scored""", [ALL_ROWS, gate_sql(), ROUTED]))
 def g13_sari_rows(spark, sf_dir):
     """G13 + G10 + B12 + I1 (stub): per-row SARI and ED(1.5) of both conditions."""
-    s = L3.gating_experiment(pairs_table(spark, sf_dir), prepared(spark, sf_dir), with_ter=False)
+    s = L3.gating_experiment(pairs_table(spark, sf_dir), prepared(spark, sf_dir), n_sample=None, with_ter=False)
     return s.select("gid", "sari_A", "sari_B", "ed_A", "ed_B", "out_B")
 
 

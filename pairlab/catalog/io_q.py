@@ -144,3 +144,16 @@ def a8_e14_tolerant_restore(spark, sf_dir):
     spark.createDataFrame([("not a parquet file",)], "value string").write.text(f"{out}/run=r0001/chunk=9")
     parts = IO.read_tolerant(spark, out, I.OUT_SCHEMA, recursive=True).select("id", "response")
     return I.restore_order(prompts.select("id"), parts)
+
+
+@register("a2_domain_source", """SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars FROM documents
+WHERE lang = (SELECT min(lang) FROM documents)""")
+def a2_domain_source(spark, sf_dir):
+    """A2: documents written once by domain (their language), one domain read
+    back: the scan lists that folder and the two columns only."""
+    from pairlab.sources.tables import load_domain, read_table, write_domains
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "n_chars", "lang"])
+    path = IO.scratch_path(spark, "domains")
+    write_domains(docs, path, "lang")
+    first = docs.agg(F.min("lang")).first()[0]
+    return load_domain(spark, path, first, ["doc_id", "n_chars"]).withColumn("n_chars", F.col("n_chars").cast("long"))

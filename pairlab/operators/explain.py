@@ -143,6 +143,23 @@ def alignment_report(eval_set: DataFrame, preds: DataFrame) -> DataFrame:
         (F.col("n_tokens") != F.col("n_silver")) | (F.col("n_tokens") != F.col("n_pred")))
 
 
+def checked_predictions(eval_set: DataFrame, preds: DataFrame, strict: bool = True) -> DataFrame:
+    """The predictions that can be evaluated, each method's sentences
+    matched by id. Sizes of tokens, silver labels and predictions that differ,
+    and sentences without a prediction or predictions without a sentence, raise
+    while the plan runs if ``strict``, else they are left out (``alignment_report``
+    lists them)."""
+    sizes = eval_set.select("idx", F.size("tokens").alias("_t"), F.size("silver").alias("_s"))
+    wanted = sizes.crossJoin(F.broadcast(preds.select("method").distinct()))   # a row a method
+    j = wanted.join(preds.withColumn("_there", F.lit(True)), ["idx", "method"], "full")
+    fits = F.coalesce((F.col("_t") == F.col("_s")) & (F.col("_t") == F.size("pred")) & F.col("_there"), F.lit(False))
+    if strict:
+        fits = F.when(fits, True).otherwise(F.raise_error(F.concat(
+            F.lit("tokens, silver labels and predictions do not match: sentence "), F.col("idx").cast("string"),
+            F.lit(", method "), F.coalesce("method", F.lit("?")))).cast("boolean"))
+    return j.where(fits).select(*preds.columns)
+
+
 def _confusion_arrays(y: Column, p: Column) -> dict[str, Column]:
     z = F.arrays_zip(y.alias("y"), p.alias("p"))
     cnt = lambda f: F.size(F.filter(z, f))
@@ -216,10 +233,13 @@ def positive_rates(eval_set: DataFrame, preds: DataFrame) -> DataFrame:
 def disagreement(eval_set: DataFrame, preds: DataFrame, top_k: int = 10) -> DataFrame:
     """Sentences where methods disagree most: per token the population std
     of the 0/1 predictions across methods, averaged over the sentence; top-k,
-    ties broken by the larger index."""
+    ties broken by the larger index. A token that fewer than two methods label
+    raises while the plan runs."""
     n = eval_set.select("idx", F.size("tokens").alias("n"))
     t = (preds.join(n, "idx").select("idx", "method", F.posexplode(F.slice("pred", 1, F.col("n"))).alias("i", "p")))
     per_tok = t.groupBy("idx", "i").agg(F.stddev_pop("p").alias("sd"), F.count(F.lit(1)).alias("m"))
+    per_tok = per_tok.where(F.when(F.col("m") >= 2, True).otherwise(F.raise_error(F.lit(
+        "disagreement needs the predictions of two methods at least")).cast("boolean")))
     per_sent = per_tok.groupBy("idx").agg(F.round(F.avg("sd"), 9).alias("score"))   # engine-independent ties
     return per_sent.orderBy(F.desc("score"), F.desc("idx")).limit(top_k)
 

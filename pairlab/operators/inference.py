@@ -89,10 +89,18 @@ def merge_results(inputs: DataFrame, out_dir: str, id_col: str = "id") -> DataFr
                     F.col("response").isNull().alias("missing"))
 
 
-def restore_order(inputs: DataFrame, outputs: DataFrame, id_col: str = "id") -> DataFrame:
+def restore_order(inputs: DataFrame, outputs: DataFrame, id_col: str = "id", strict: bool = True) -> DataFrame:
     """Outputs matched to inputs by global id (never by position), sorted
-    by id for export."""
-    return inputs.join(outputs, id_col, "left").orderBy(id_col)
+    by id for export. If ``strict``, an input without exactly one output, or an
+    output without an input, raises while the plan runs."""
+    if not strict:
+        return inputs.join(outputs, id_col, "left").orderBy(id_col)
+    values = [c for c in outputs.columns if c != id_col]
+    once = outputs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*values)).alias("_out"))
+    j = inputs.withColumn("_in", F.lit(True)).join(once, id_col, "full")
+    fits = F.when((F.col("_n") == 1) & F.col("_in"), True).otherwise(F.raise_error(F.concat(
+        F.lit("inputs and outputs do not match at id "), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).cast("boolean"))
+    return j.where(fits).select(*inputs.columns, *[F.col("_out")[c].alias(c) for c in values]).orderBy(id_col)
 
 
 Scorer = Callable[[list[str]], list[float]]

@@ -42,7 +42,8 @@ def global_hash_rank(keys: DataFrame, key: str, seed: str, rank_col: str = "rank
         *by, "_p", "_b",
         F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(*by)).alias("_total"))
-    ranked = x.join(F.broadcast(offsets), [*by, "_p", "_b"]).withColumn(
+    # without groups the offsets are a row a bucket; with them they grow with the groups
+    ranked = x.join(offsets if by or prefix is not None else F.broadcast(offsets), [*by, "_p", "_b"]).withColumn(
         rank_col, F.col("_off") + F.row_number().over(Window.partitionBy(*by, "_p", "_b").orderBy("_h", key)))
     cols = [*by, key, rank_col] + ([F.col("_total").alias(total_col)] if total_col else [])
     return ranked.select(*cols)
@@ -120,13 +121,48 @@ def hash_split(keys: DataFrame, key: str, test_pct: int = 20, val_pct: int = 20,
     return keys.select(key, split.alias("split"))
 
 
+def dealing_phases(runs: list[tuple[int, int]], n_folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """The greedy rule (each group, largest first, to the lightest fold, the
+    first of equals) over runs (size, groups of that size), largest size first.
+    Returns (size, first, last, folds): the groups of a size with ranks first to
+    last - 1 go to these folds in turn. Within a run folds join from the lightest
+    on, and those that have joined take turns, so a run has n_folds phases at
+    most."""
+    loads, out = [0] * n_folds, []
+    for size, groups in runs:
+        waiting = sorted(range(n_folds), key=lambda f: (loads[f], f))
+        active, at = [waiting.pop(0)], 0
+        while at < groups:
+            turns = groups - at
+            if waiting:  # until the next fold is the lightest
+                x = waiting[0]
+                turns = min(turns, sum(max(0, -((loads[a] - loads[x]) // size) + ((loads[x] - loads[a]) % size == 0 and a < x))
+                                       for a in active))
+            order = sorted(active, key=lambda f: (loads[f], f))
+            if turns:
+                out.append((size, at, at + turns, order))
+            for k, f in enumerate(order):
+                loads[f] += size * (turns // len(order) + (k < turns % len(order)))
+            at += turns
+            if waiting and at < groups:
+                active.append(waiting.pop(0))
+    return out
+
+
 def group_kfold(df: DataFrame, key: str, n_folds: int = 5, seed: str = "fold") -> DataFrame:
-    """E5: group k-fold. Groups are ranked by (size desc, md5 order) and dealt
-    round-robin, fold = (rank - 1) mod n_folds, so folds are size balanced and no
-    group spans two folds. Returns key, fold."""
+    """E5: group k-fold, greedily balanced: groups by size (largest first, then
+    md5 order) each go to the fold with fewest rows so far. Only the histogram
+    size -> groups goes to the driver (distinct sizes are fewer than the square
+    root of twice the rows); groups are ranked within their size and look their
+    turn up. Returns key, fold."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    r = global_hash_rank(sizes, key, seed, prefix=-F.col("n"))
-    return r.select(key, ((F.col("rank") - 1) % n_folds).cast("int").alias("fold"))
+    runs = [(r["n"], r["m"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()]
+    phases = df.sparkSession.createDataFrame(dealing_phases(sorted(runs, reverse=True), n_folds),
+                                             "n long, first long, last long, folds array<int>")
+    r = global_hash_rank(sizes, key, seed, by=["n"]).withColumn("rank", F.col("rank") - 1)
+    dealt = r.join(phases, "n").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    turn = ((F.col("rank") - F.col("first")) % F.size("folds")).cast("int")
+    return dealt.select(key, F.get("folds", turn).alias("fold"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, row_key: str, n: int, seed: str = "42") -> DataFrame:

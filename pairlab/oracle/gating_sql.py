@@ -103,6 +103,10 @@ smp AS (SELECT g.* FROM (SELECT *, row_number() OVER (PARTITION BY true_label OR
   JOIN alloc ON g.true_label = alloc.true_label WHERE rn <= take)"""
 
 
+#: All gating rows under the sample's name.
+ALL_ROWS = "smp AS (SELECT * FROM g)"
+
+
 def gate_sql(lo: float = 0.1, hi: float = 0.9, n: int = 81) -> str:
     from pairlab.operators.metrics import linspace
     qs = linspace(lo, hi, n)

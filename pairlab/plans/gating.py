@@ -42,10 +42,14 @@ def calibrated_gate(sentences: DataFrame) -> float:
     return M.calibrate_threshold(val, "pred", "label").first()["thr"]
 
 
-def gated_sample(pairs: DataFrame, sentences: DataFrame, n_sample: int = 10_000,
+def gated_sample(pairs: DataFrame, sentences: DataFrame, n_sample: int | None = 10_000,
                  score: Callable[[Column], Column] = gate_score) -> DataFrame:
-    g = gating_rows(pairs, sentences).persist(StorageLevel.MEMORY_AND_DISK)   # read by allocation, ranks and sample
-    smp = sampling.stratified_sample(g, "true_label", "gid", n_sample)
+    """Gating rows with the gate's decision and quadrant: a stratified sample of
+    ``n_sample`` rows (E6), or all rows for None."""
+    smp = gating_rows(pairs, sentences)
+    if n_sample is not None:
+        smp = smp.persist(StorageLevel.MEMORY_AND_DISK)   # read by allocation, ranks and sample
+        smp = sampling.stratified_sample(smp, "true_label", "gid", n_sample)
     thr = calibrated_gate(sentences)
     smp = smp.withColumn("pred_gate", (F.round(score(F.col("input_text")), M.QUANT_DIGITS) > F.lit(thr)).cast("int"))
     return smp.withColumn("quadrante", G.quadrant())
@@ -55,7 +59,7 @@ def stub_output(df: DataFrame) -> DataFrame:
     return df.withColumn("gen_output", stub_generate(F.col("input_text"), F.col("input_text")))
 
 
-def gating_experiment(pairs: DataFrame, sentences: DataFrame, n_sample: int = 10_000, with_ter: bool = True,
+def gating_experiment(pairs: DataFrame, sentences: DataFrame, n_sample: int | None = 10_000, with_ter: bool = True,
                       generate: Callable[[DataFrame], DataFrame] = stub_output) -> DataFrame:
     """Returns the scored rows (checkpointed: the table and any drill-down reuse them)."""
     smp = gated_sample(pairs, sentences, n_sample)

@@ -24,6 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df.select(*columns) if columns else df
 
 
+def write_domains(df: DataFrame, path: str, domain: str) -> None:
+    """A2: one folder ``domain=...`` for each value of column ``domain``; the rows
+    of a domain stay in the tasks that hold them, so a large domain is no hot task."""
+    df.withColumnRenamed(domain, "domain").write.partitionBy("domain").parquet(path)
+
+
 def load_domain(spark: SparkSession, path: str, domain: str | None = None,
                 columns: list[str] | None = None) -> DataFrame:
     """A2: dataset source by domain; a ``domain=`` partition filter prunes
