@@ -36,11 +36,11 @@ SPACE = "▁"
 #: Documents in a block at most: 4096 bits, 512 bytes for a full bitmap.
 BLOCK_DOCS = 4096
 #: Chunks in a block after which it ends (a longer text has its own block).
-BLOCK_CHUNKS = 2_000_000
+BLOCK_CHUNKS = 500_000
 #: Fewer documents than this are listed as 16-bit numbers, more are a bitmap.
 LISTED = BLOCK_DOCS // 16
 #: Chunks that a Python worker remembers, by number and by characters.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 16_000_000
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 6_000_000
 #: Before a space that stands between two visible characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
