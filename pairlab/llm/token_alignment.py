@@ -35,12 +35,14 @@ from pairlab.llm.storage import stored
 SPACE = "▁"
 #: Documents in a block at most: 4096 bits, 512 bytes for a full bitmap.
 BLOCK_DOCS = 4096
-#: Chunks in a block after which it ends (a longer text has its own block).
+#: Chunks in a block after which it ends.
 BLOCK_CHUNKS = 500_000
 #: Fewer documents than this are listed as 16-bit numbers, more are a bitmap.
 LISTED = BLOCK_DOCS // 16
 #: Chunks that a Python worker remembers, by number and by characters.
-CACHE_CHUNKS, CACHE_CHARS = 200_000, 6_000_000
+CACHE_CHUNKS, CACHE_CHARS = 400_000, 12_000_000
+#: Documents tokenized together; a block ends after a whole number of them.
+TOGETHER = 128
 #: Before a space that stands between two visible characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -80,35 +82,30 @@ class Aligner:
         self.number: dict[str, int] = {}
         self.chars = 0
         self.text: list[bytes] = []  # a1,a2|b1;a3|b2
-        self.facts: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, aligned
+        self.facts = np.zeros((1 << 16, 5), np.int64)  # n_a, n_b, n_groups, n_links, 1 if not aligned
         self.pairs: list[np.ndarray] = []  # a << 32 | b of every link
 
-    def chunks(self, text: str) -> list[int]:
-        """Numbers of the chunks of space + text."""
-        parts = self.cut.split(" " + text) if self.cut else [" " + text]
-        get = self.number.get
-        found = [get(p, -1) for p in parts]
-        if -1 in found:
-            for k, n in enumerate(found):
-                if n < 0:
-                    found[k] = self._number(parts[k])
-        return found
-
-    def _number(self, chunk: str) -> int:
-        n = self.number.get(chunk)
-        if n is None:
-            n = self.number[chunk] = len(self.facts)
-            self.chars += len(chunk)
-            self._align(chunk)
-        return n
-
-    def _align(self, chunk: str) -> None:
+    def chunks(self, texts: list[str]) -> list[list[int]]:
+        """Numbers of the chunks of a space and each text; those not met before
+        are tokenized together."""
+        parts = [[] if not t else self.cut.split(" " + t) if self.cut else [" " + t] for t in texts]
+        new = list(dict.fromkeys(p for own in parts for p in own if p not in self.number))
+        ids = self.pieces.encode([p[1:] for p in new], num_threads=1) if new else []
+        fast = self.bpe.fast.encode_ordinary
+        for p, b in zip(new, ids):
+            self.number[p] = len(self.pairs)
+            self.chars += len(p)
+            self._align(p, fast(p) if p.isascii() else self.bpe.ids(p).tolist(), b)
+        return [[self.number[p] for p in own] for own in parts]
+
+    def _align(self, chunk: str, a: list[int], b: list[int]) -> None:
+        if len(self.pairs) == len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
         raw = chunk.encode("utf-8")
-        a, b = self.bpe.ids(chunk).tolist(), self.pieces.encode(chunk[1:])
         a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
             self.text.append(b"")
-            self.facts.append((0, 0, 0, 0))
+            self.facts[len(self.pairs)] = 0, 0, 0, 0, 1
             self.pairs.append(np.zeros(0, np.int64))
             return
         links, groups, i, j, a_end, b_end, a_from, b_from = [], [], 0, 0, len(a_bytes[0]), len(b_bytes[0]), 0, 0
@@ -128,7 +125,7 @@ class Aligner:
                 j += 1
                 b_end += len(b_bytes[j])
         self.text.append(";".join(groups).encode())
-        self.facts.append((len(a), len(b), len(groups), 1))
+        self.facts[len(self.pairs)] = len(a), len(b), len(groups), len(links), 0
         self.pairs.append(np.array(links, np.int64))
 
 
@@ -250,28 +247,24 @@ def encode_blocks(docs: DataFrame, vocabulary: str, pieces: str) -> DataFrame:
                     planes.slice(at, m)], names=names)
 
         block, size, ids, chunk_ids, facts = 0, 0, [], [], []
-        for b in batches:
-            taken = 0
-            for k, text in enumerate(b.column(1)):
-                found = aligner.chunks(text.as_py()) if text.as_py() else []
-                each = [aligner.facts[c] for c in found]
-                if found and all(e[3] for e in each):
-                    digest = hashlib.sha256(b";".join([aligner.text[c] for c in found])).hexdigest()
-                    n_a, n_b, n_groups = (sum(e[j] for e in each) for j in range(3))
-                    n_links = sum(len(aligner.pairs[c]) for c in found)
-                    facts.append((n_a, n_b, n_groups, n_links, digest))
+        for b in (b.slice(at, TOGETHER) for whole in batches for at in range(0, whole.num_rows, TOGETHER)
+                  for b in [whole]):
+            for found in aligner.chunks([x.as_py() or "" for x in b.column(1)]):
+                numbers = np.array(found, np.int64)
+                sums = aligner.facts[numbers].sum(0).tolist()
+                if found and not sums[4]:
+                    facts.append((*sums[:4], hashlib.sha256(b";".join([aligner.text[c] for c in found])).hexdigest()))
                 else:
-                    found = []
+                    numbers = numbers[:0]
                     facts.append((0, 0, 0, 0, ""))
-                chunk_ids.append(np.array(found, np.int64))
-                size += len(found)
-                if len(facts) == BLOCK_DOCS or size > BLOCK_CHUNKS:
-                    yield from rows(block, [*ids, b.column(0).slice(taken, k + 1 - taken)], chunk_ids, facts)
-                    block, size, ids, chunk_ids, facts, taken = block + 1, 0, [], [], [], k + 1
-                    if len(aligner.number) > CACHE_CHUNKS or aligner.chars > CACHE_CHARS:
-                        aligner.forget()
-            if taken < b.num_rows:
-                ids.append(b.column(0).slice(taken))
+                chunk_ids.append(numbers)
+                size += len(numbers)
+            ids.append(b.column(0))
+            if len(facts) + TOGETHER > BLOCK_DOCS or size > BLOCK_CHUNKS:
+                yield from rows(block, ids, chunk_ids, facts)
+                block, size, ids, chunk_ids, facts = block + 1, 0, [], [], []
+                if len(aligner.number) > CACHE_CHUNKS or aligner.chars > CACHE_CHARS:
+                    aligner.forget()
         if facts:
             yield from rows(block, ids, chunk_ids, facts)
 
