@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.byte_bpe import ByteBpe, vocabulary_text
+from pairlab.llm.byte_bpe import PLAIN, ByteBpe, vocabulary_text
 from pairlab.llm.storage import stored
 
 SPACE = "▁"
@@ -74,6 +74,8 @@ class Aligner:
         self.a_bytes = [self.bpe.fast.decode_single_token_bytes(i) if i < self.bpe.fast.n_vocab else b""
                         for i in range(self.bpe.whole.get_vocab_size())]
         self.b_bytes = piece_bytes(self.pieces)
+        self.a_sizes, self.b_sizes = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.digits = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         inner = any(SPACE in self.pieces.id_to_piece(i).lstrip(SPACE) for i in range(len(self.b_bytes)))
         self.cut = None if inner else CUT
         self.forget()
@@ -92,41 +94,49 @@ class Aligner:
         new = list(dict.fromkeys(p for own in parts for p in own if p not in self.number))
         ids = self.pieces.encode([p[1:] for p in new], num_threads=1) if new else []
         fast = self.bpe.fast.encode_ordinary
+        first, facts = len(self.pairs), []
         for p, b in zip(new, ids):
             self.number[p] = len(self.pairs)
             self.chars += len(p)
-            self._align(p, fast(p) if p.isascii() else self.bpe.ids(p).tolist(), b)
+            facts.append(self._align(p, fast(p) if PLAIN.fullmatch(p) else self.bpe.ids(p).tolist(), b))
+        while first + len(new) > len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        if new:
+            self.facts[first:first + len(new)] = facts
         return [[self.number[p] for p in own] for own in parts]
 
-    def _align(self, chunk: str, a: list[int], b: list[int]) -> None:
-        if len(self.pairs) == len(self.facts):
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+    def _align(self, chunk: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, int]:
         raw = chunk.encode("utf-8")
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        if (b"".join([self.a_bytes[i] for i in a]) != raw) or (b"".join([self.b_bytes[i] for i in b]) != raw):
             self.text.append(b"")
-            self.facts[len(self.pairs)] = 0, 0, 0, 0, 1
             self.pairs.append(np.zeros(0, np.int64))
-            return
-        links, groups, i, j, a_end, b_end, a_from, b_from = [], [], 0, 0, len(a_bytes[0]), len(b_bytes[0]), 0, 0
+            return 0, 0, 0, 0, 1
+        sizes_a, sizes_b, digits = self.a_sizes, self.b_sizes, self.digits
+        links, groups, i, j, last = [], [], 0, 0, len(a) - 1
+        x, y = a[0], b[0]
+        a_end, b_end, a_text, b_text = sizes_a[x], sizes_b[y], digits[x], digits[y]
         while True:
-            links.append(a[i] << 32 | b[j])
+            links.append(x << 32 | y)
             if a_end == b_end:
-                groups.append(",".join(map(str, a[a_from:i + 1])) + "|" + ",".join(map(str, b[b_from:j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
+                groups.append(f"{a_text}|{b_text}")
+                if i == last:
                     break
-                a_from, b_from = i, j
-                a_end, b_end = a_end + len(a_bytes[i]), b_end + len(b_bytes[j])
+                i, j = i + 1, j + 1
+                x, y = a[i], b[j]
+                a_end, b_end, a_text, b_text = a_end + sizes_a[x], b_end + sizes_b[y], digits[x], digits[y]
             elif a_end < b_end:
                 i += 1
-                a_end += len(a_bytes[i])
+                x = a[i]
+                a_end += sizes_a[x]
+                a_text += "," + digits[x]
             else:
                 j += 1
-                b_end += len(b_bytes[j])
+                y = b[j]
+                b_end += sizes_b[y]
+                b_text += "," + digits[y]
         self.text.append(";".join(groups).encode())
-        self.facts[len(self.pairs)] = len(a), len(b), len(groups), len(links), 0
         self.pairs.append(np.array(links, np.int64))
+        return len(a), len(b), len(groups), len(links), 0
 
 
 _LOADED: dict[int, Aligner] = {}
