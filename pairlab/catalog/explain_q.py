@@ -29,7 +29,7 @@ def eval_set(spark, sf_dir, silver: str = "set"):
 
 
 def _scores(spark, sf_dir):
-    return fixtures.token_scores(spark, sf_dir).select(F.col("sid").alias("idx"), "i", "attribution")
+    return fixtures.sentence_scores(spark, sf_dir).select(F.col("sid").alias("idx"), "attributions")
 
 
 def methods(spark, sf_dir, ev, with_trunc: bool = False):

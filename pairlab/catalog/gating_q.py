@@ -11,7 +11,7 @@ from pairlab.functions.text import lexical_overlap
 from pairlab.operators import gating as G
 from pairlab.operators import sampling
 from pairlab.oracle.fixtures_sql import with_fixtures
-from pairlab.oracle.gating_sql import ALL_ROWS, GATING_BASE, ROUTED, gate_sql, sample_sql
+from pairlab.oracle.gating_sql import ALL_ROWS, GATING_BASE, ROUTED, gate_sql, sample_sql, sari_grouped_sql, tok_lower
 from pairlab.plans import gating as L3
 from pairlab.sources import fixtures
 
@@ -111,15 +111,18 @@ def l3_gating_table_ter(spark, sf_dir):
     return G.result_table(s)
 
 
-@register("g13_sari_pairs", with_fixtures(["pair_rows"], """
-SELECT idx, round(sari, 6) AS sari FROM (SELECT idx, """ + __import__("pairlab.oracle.gating_sql", fromlist=["x"]).sari_from_counts_sql("c")
-    + """ AS sari FROM (SELECT idx, """ + ", ".join(
-        f"{__import__('pairlab.oracle.gating_sql', fromlist=['x']).gram_counts_sql('ts', 'tc', 'tr', n)} AS c{n}" for n in range(1, 5))
-    + """ FROM (SELECT idx, regexp_extract_all(lower(original_text), '\\p{L}+|[^\\s\\p{L}]') AS ts,
-        regexp_extract_all(lower(simplification), '\\p{L}+|[^\\s\\p{L}]') AS tc,
-        regexp_extract_all(lower(simplification), '\\p{L}+|[^\\s\\p{L}]') AS tr FROM pair_rows WHERE idx % 10 = 3)))""".replace(
-        "FROM pair_rows WHERE idx % 10 = 3", "FROM pair_rows")))
+#: Each pair with the next variant of its original (after the last: the first) as reference.
+_NEXT_VARIANT = f"""toks AS MATERIALIZED (SELECT p.idx, {tok_lower('p.original_text')} AS ts, {tok_lower('p.simplification')} AS tc,
+    {tok_lower('q.simplification')} AS tr
+  FROM pair_rows p JOIN pair_rows q ON q.idx = CASE WHEN p.idx % 10 = 9 THEN p.idx - 9 ELSE p.idx + 1 END)"""
+
+
+@register("g13_sari_pairs", with_fixtures(
+    ["pair_rows"], f"SELECT idx, round(sari, 6) AS sari FROM ({sari_grouped_sql('toks')})", [_NEXT_VARIANT]))
 def g13_sari_pairs(spark, sf_dir):
-    """G13 on every pair of the table: SARI(original, simplification, reference = simplification)."""
-    p = pairs_table(spark, sf_dir)
-    return with_sari(p, "original_text", "simplification", "simplification").select("idx", "sari")
+    """G13 on every pair of the table; the reference is the next variant of the same original."""
+    p = pairs_table(spark, sf_dir).select("idx", "original_text", "simplification")
+    before = F.when(F.col("idx") % 10 == 0, F.col("idx") + 9).otherwise(F.col("idx") - 1)
+    reference = p.select(before.alias("idx"), F.col("simplification").alias("reference"))
+    return with_sari(p.join(reference, "idx"), "original_text", "simplification", "reference").select(
+        "idx", F.round("sari", 6).alias("sari"))

@@ -112,16 +112,25 @@ def predict_lexicon(eval_set: DataFrame, lexicon: DataFrame, name: str = "lexico
     return regroup(t, "p", "pred").select("idx", F.lit(name).alias("method"), "pred")
 
 
-def predict_top_fraction(eval_set: DataFrame, token_scores: DataFrame, frac: float,
+def predict_top_fraction(eval_set: DataFrame, scores: DataFrame, frac: float,
                          name: str = "attribution") -> DataFrame:
     """The k = max(1, round_half_even(frac * n)) highest-scored tokens
-    (ties: larger position first). ``token_scores``: idx, i, attribution."""
-    n = eval_set.select("idx", F.size("tokens").alias("n"))
-    t = token_scores.join(n, "idx").where(F.col("i") < F.col("n"))
-    w = Window.partitionBy("idx").orderBy(F.desc("attribution"), F.desc("i"))
-    k = F.greatest(F.lit(1), F.bround(F.lit(frac) * F.col("n"), 0).cast("int"))
-    t = t.withColumn("p", (F.row_number().over(w) <= k).cast("int"))
-    return regroup(t, "p", "pred").select("idx", F.lit(name).alias("method"), "pred")
+    (ties: larger position first). ``scores``: idx and either ``attributions``,
+    an array by position, or token rows (i, attribution). The choice is made
+    inside the row after one join on the id; positions without a score are
+    never chosen, scores past the sentence's end are ignored."""
+    if "attributions" in scores.columns:
+        ranked = scores.select("idx", F.transform(
+            "attributions", lambda a, i: F.struct(a.cast("double").alias("attribution"), i.alias("i"))).alias("_s"))
+    else:
+        ranked = scores.groupBy("idx").agg(F.collect_list(F.struct(
+            F.col("attribution").cast("double").alias("attribution"), F.col("i").cast("int").alias("i"))).alias("_s"))
+    n = F.size("tokens")
+    k = F.greatest(F.lit(1), F.bround(F.lit(frac) * n, 0).cast("int"))
+    j = eval_set.select("idx", "tokens").join(ranked, "idx")
+    best = F.sort_array(F.filter("_s", lambda s: s["i"] < n), asc=False)
+    chosen = F.transform(F.slice(best, 1, k), lambda s: s["i"])
+    return j.select("idx", F.lit(name).alias("method"), T.indices_to_binary(chosen, n).alias("pred"))
 
 
 def predict_from_responses(eval_set: DataFrame, responses: DataFrame, name: str = "llm") -> DataFrame:

@@ -2,9 +2,10 @@
 
 Global ranks and cumulative counts use ``score_cdf``: scores are first reduced
 to one row per distinct value (partial aggregation, skew-safe), those rows are
-cut into range buckets by approximate quantiles (bounded sketch), and prefix
-sums run per bucket plus a broadcast table of bucket offsets. No step puts all
-rows, or all distinct scores, into one task.
+cut into range buckets by approximate quantiles (bounded sketch), as many as the
+distinct scores need, and prefix sums run per bucket plus a broadcast table of
+bucket offsets. No step puts all rows into one task, nor more distinct scores
+than a bucket holds.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CDF_BUCKETS = 256
+#: Distinct scores a range bucket, about, and buckets at most (their totals are broadcast).
+BUCKET_SCORES, MOST_BUCKETS = 50_000, 8192
 QUANT_DIGITS = 9   # thresholds and scores compared after rounding (engine-independent)
 
 
@@ -33,27 +35,32 @@ def score_counts(df: DataFrame, score: str, label: str | None = None) -> DataFra
             .persist(StorageLevel.MEMORY_AND_DISK))
 
 
-def score_cdf(df: DataFrame, score: str, label: str | None = None,
-              n_buckets: int = CDF_BUCKETS) -> DataFrame:
+def score_cdf(df: DataFrame, score: str, label: str | None = None, n_buckets: int | None = None) -> DataFrame:
     """One row per distinct non-null ``score``: cnt, pos, cnt_below, pos_below,
     n_total, pos_total (pos columns only count ``label == 1``)."""
     return cdf_from_counts(score_counts(df, score, label), score, n_buckets)
 
 
-def cdf_from_counts(dist: DataFrame, score: str, n_buckets: int = CDF_BUCKETS) -> DataFrame:
-    """Exclusive prefix sums over the distinct-score table ``dist`` (``_s``, cnt,
-    pos): value-range buckets from a bounded quantile sketch, bucket totals
-    (<= n_buckets rows) broadcast as offsets, a running sum inside each bucket."""
+def range_buckets(dist: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """``dist`` with ``_rb``, the number of its score's value range; the ranges
+    come from a bounded quantile sketch, their number from the distinct scores."""
+    if n_buckets is None:   # the count also fills the cache of ``dist``
+        n_buckets = min(MOST_BUCKETS, -(-dist.count() // BUCKET_SCORES))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    # bounded sketch of the distinct values; a plain aggregate, so it also fills the cache of ``dist``
-    row = dist.agg(F.percentile_approx("_s", probs, 4 * n_buckets).alias("b")).first() if n_buckets > 1 else None
+    row = dist.agg(F.percentile_approx("_s", probs, 4 * n_buckets).alias("b")).first() if probs else None
     bounds = list(row["b"] or []) if row is not None else []
     inner = sorted(set(b for b in bounds if b == b and abs(b) != float("inf")))
-    if inner:
-        b = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_s", outputCol="_rb",
-                       handleInvalid="keep").transform(dist)
-    else:   # an empty input, or one bucket
-        b = dist.withColumn("_rb", F.lit(0.0))
+    if not inner:   # an empty input, or one bucket
+        return dist.withColumn("_rb", F.lit(0.0))
+    return Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_s", outputCol="_rb",
+                      handleInvalid="keep").transform(dist)
+
+
+def cdf_from_counts(dist: DataFrame, score: str, n_buckets: int | None = None) -> DataFrame:
+    """Exclusive prefix sums over the distinct-score table ``dist`` (``_s``, cnt,
+    pos): value ranges, their totals (<= MOST_BUCKETS rows) broadcast as
+    offsets, a running sum inside each range."""
+    b = range_buckets(dist, n_buckets)
     tot = b.groupBy("_rb").agg(F.sum("cnt").alias("_bc"), F.sum("pos").alias("_bp"))
     w_prev = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)   # <= n_buckets rows
     w_all = Window.partitionBy()
@@ -183,28 +190,34 @@ def linspace(a: float, b: float, n: int) -> list[float]:
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, distributed."""
-    return quantiles_from_cdf(score_cdf(df, col), col, probs)
-
-
-def quantiles_from_cdf(c: DataFrame, col: str, probs: list[float]) -> DataFrame:
-    """Positions floor/ceil((n-1)q) are looked up in the CDF by a range
-    condition against a broadcast table of 2*len(probs) positions."""
-    c = c.persist(StorageLevel.MEMORY_AND_DISK)
-    n = c.select("n_total").first()
-    n = int(n[0]) if n else 0
-    spark = c.sparkSession
-    rows = []
-    for j, q in enumerate(probs):
-        h = (n - 1) * q
-        lo = int(h // 1)
-        hi = min(lo + 1, n - 1)
-        rows.append((j, float(q), lo, hi, float(h - lo)))
-    pos = spark.createDataFrame(rows, "j long, q double, lo long, hi long, frac double")
-    hit = lambda k: (F.col(k) >= F.col("cnt_below")) & (F.col(k) < F.col("cnt_below") + F.col("cnt"))
-    vlo = c.join(F.broadcast(pos), hit("lo")).select("j", F.col(col).alias("v_lo"))
-    vhi = c.join(F.broadcast(pos), hit("hi")).select("j", F.col(col).alias("v_hi"))
-    return (pos.join(vlo, "j").join(vhi, "j")
-            .select("j", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("value")))
+    return quantiles_from_counts(score_counts(df, col), probs)
+
+
+def quantiles_from_counts(dist: DataFrame, probs: list[float]) -> DataFrame:
+    """Order statistics floor/ceil((n-1)q) of the distinct-score table ``dist``
+    (``_s``, cnt). The totals of the value ranges (<= MOST_BUCKETS numbers) say
+    in which range, and at which place of it, each statistic lies; the ranges
+    asked for meet their statistics by an equi-join on the range number, and
+    only those ranges are sorted."""
+    b = range_buckets(dist)
+    ends, n = {}, 0
+    for r in b.groupBy("_rb").agg(F.sum("cnt").alias("n")).orderBy("_rb").collect():   # bounded
+        ends[r["_rb"]] = (n, n := n + r["n"])
+    wanted: dict[float, list[tuple]] = {}
+    for j, q in enumerate(probs if n else ()):
+        lo = int((n - 1) * q // 1)
+        for high, k in enumerate((lo, min(lo + 1, n - 1))):
+            bucket = next(x for x, (first, end) in ends.items() if first <= k < end)
+            wanted.setdefault(bucket, []).append((j, float(q), high, k - ends[bucket][0], (n - 1) * q - lo))
+    places = b.sparkSession.createDataFrame(
+        list(wanted.items()), "_rb double, _p array<struct<j: long, q: double, high: int, k: long, frac: double>>")
+    below = F.coalesce(F.sum("cnt").over(
+        Window.partitionBy("_rb").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = b.join(F.broadcast(places.select("_rb")), "_rb").select("_rb", "_s", "cnt", below.alias("_below"))
+    found = ranks.join(F.broadcast(places), "_rb").select("_s", F.inline(F.filter(
+        "_p", lambda p: (p["k"] >= F.col("_below")) & (p["k"] < F.col("_below") + F.col("cnt")))))
+    v_lo, v_hi = (F.max(F.when(F.col("high") == x, F.col("_s"))) for x in (0, 1))
+    return found.groupBy("j", "q").agg((v_lo + F.first("frac") * (v_hi - v_lo)).alias("value"))
 
 
 CRITERIA = ("f1", "balanced_acc", "youden")
@@ -265,7 +278,7 @@ def calibrate_threshold(df: DataFrame, score: str, label: str, lo: float = 0.1,
     lowest threshold wins ties. Returns thr, objective."""
     obj = objective(criterion)   # validates the criterion before any job runs
     dist = score_counts(df, score, label)          # the only pass over the rows
-    qs = quantiles_from_cdf(cdf_from_counts(dist, "_s"), "_s", linspace(lo, hi, n))
+    qs = quantiles_from_counts(dist, linspace(lo, hi, n))
     cands = [r["value"] for r in qs.select("value").collect()]   # n numbers
     t = threshold_table_from_counts(dist, cands)
     return (t.select("thr", obj.alias("objective"))

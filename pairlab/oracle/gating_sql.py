@@ -78,6 +78,32 @@ def tok_lower(text: str) -> str:
     return f"regexp_extract_all(lower({text}), {TOKEN_RE})"
 
 
+def sari_grouped_sql(source: str) -> str:
+    """(idx, sari) of the rows (idx, ts, tc, tr) of ``source``: grams are rows, counted by (idx, n, gram)."""
+    sides = " UNION ALL ".join(
+        f"SELECT idx, {n} AS n, unnest({grams_sql(t, n)}) AS g, {int(t == 'ts')} AS s, {int(t == 'tc')} AS c, "
+        f"{int(t == 'tr')} AS r FROM {source}" for n in range(1, 5) for t in ("ts", "tc", "tr"))
+
+    def share(num: str, den: str) -> str:
+        return f"CASE WHEN coalesce({den}, 0) > 0 THEN {num} / {den} ELSE 1.0::DOUBLE END"
+
+    return f"""SELECT idx, sum({_f1('kp', 'kr')} + dp + {_f1('ap', 'ar')}) / 4 / 3.0::DOUBLE * 100.0::DOUBLE AS sari FROM (
+  SELECT i.idx, i.n, {share('kps', 'nk')} AS kp, {share('krs', 'wanted')} AS kr, {share('dps', 'nd')} AS dp,
+    {share('good', 'added')} AS ap, {share('good', 'due')} AS ar
+  FROM (SELECT idx, unnest([1, 2, 3, 4]) AS n FROM {source}) i LEFT JOIN (
+    SELECT idx, n, CAST(count(*) FILTER (WHERE s > 0 AND c > 0) AS DOUBLE) AS nk,
+      coalesce(sum(least(s, c, r) / CAST(least(s, c) AS DOUBLE)) FILTER (WHERE s > 0 AND c > 0), 0) AS kps,
+      CAST(coalesce(sum(least(s, c, r)) FILTER (WHERE s > 0 AND c > 0), 0) AS DOUBLE) AS krs,
+      CAST(sum(least(s, r)) AS DOUBLE) AS wanted,
+      CAST(count(*) FILTER (WHERE s > c) AS DOUBLE) AS nd,
+      coalesce(sum(greatest(s - c - r, 0) / CAST(s - c AS DOUBLE)) FILTER (WHERE s > c), 0) AS dps,
+      CAST(count(*) FILTER (WHERE s = 0 AND c > 0 AND r > 0) AS DOUBLE) AS good,
+      CAST(count(*) FILTER (WHERE s = 0 AND c > 0) AS DOUBLE) AS added,
+      CAST(count(*) FILTER (WHERE s = 0 AND r > 0) AS DOUBLE) AS due
+    FROM (SELECT idx, n, g, sum(s) AS s, sum(c) AS c, sum(r) AS r FROM ({sides}) GROUP BY idx, n, g)
+    GROUP BY idx, n) x ON i.idx = x.idx AND i.n = x.n) GROUP BY idx"""
+
+
 GATING_BASE = f"""pt AS (SELECT * FROM pair_rows WHERE original_sentence_idx IN (SELECT id FROM sp WHERE split = 'test')),
 valid AS (SELECT * FROM pt WHERE round(original_all - simplification_all, 9) > 0.05::DOUBLE),
 gold AS (SELECT original_sentence_idx, simplification AS gold_text, simplification_all AS gold_score, idx AS gold_idx

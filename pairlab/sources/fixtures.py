@@ -149,11 +149,19 @@ def lexicon(spark: SparkSession, sf_dir: str, size: int = LEXICON_SIZE) -> DataF
     return counts.orderBy(F.desc("n"), F.asc("lemma")).limit(size).select("lemma")
 
 
+def _attribution(i: Column) -> Column:
+    return (md5_bucket("a:", F.col("sid"), ":", i) - 50).cast("double")
+
+
 def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token attribution fixture: sid, i, token, attribution (integer-valued, ties on purpose)."""
-    s = sents(spark, sf_dir)
-    t = s.select("sid", F.posexplode("tokens").alias("i", "token"))
-    return t.withColumn("attribution", (md5_bucket("a:", F.col("sid"), ":", F.col("i")) - 50).cast("double"))
+    t = sents(spark, sf_dir).select("sid", F.posexplode("tokens").alias("i", "token"))
+    return t.withColumn("attribution", _attribution(F.col("i")))
+
+
+def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same attributions, one row a sentence: sid, attributions (by position)."""
+    return sents(spark, sf_dir).select("sid", F.transform("tokens", lambda t, i: _attribution(i)).alias("attributions"))
 
 
 RESPONSE_FORMS = 6

@@ -2,10 +2,14 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from pairlab.functions.editdist import word_edit_distance, word_edit_distance_expr, word_edit_distance_py
-from pairlab.functions.sari import sari_py, with_sari, with_sari_expr
+from pairlab.functions import editdist
+from pairlab.functions.editdist import (batched_distances, word_edit_distance, word_edit_distance_expr,
+                                        word_edit_distance_py, word_edit_distances)
+from pairlab.functions.sari import batched_sari, sari_py, with_sari, with_sari_expr
 from pairlab.functions.ter import ter_edits, ter_score
 
 VOCAB = list("abcdefg")
@@ -43,6 +47,42 @@ def test_edit_distance_spark_forms_agree(spark):
         assert r["u"] == ref and r["e"] == ref
 
 
+def _ragged(n, seed, longest=25):
+    rnd = random.Random(seed)
+    rows = [[rnd.choice(VOCAB) for _ in range(rnd.randint(0, longest))] for _ in range(n)]
+    return pd.Series([None if k % 17 == seed % 17 else r for k, r in enumerate(rows)])
+
+
+def test_batched_distances_of_mixed_lengths(monkeypatch):
+    a, b, costs = _ragged(400, 1), _ragged(400, 2), (1.0, 1.3, 1.5, 2.0)
+    for cells in (1, 300, editdist.BLOCK_CELLS):   # a pair a block, a few, all
+        monkeypatch.setattr(editdist, "BLOCK_CELLS", cells)
+        for x, y, row in zip(a, b, batched_distances(a, b, costs)):
+            want = [np.nan if x is None or y is None else word_edit_distance_py(x, y, c) for c in costs]
+            np.testing.assert_allclose(row, want, atol=1e-9)
+    assert batched_distances(a[:0], b[:0], costs).shape == (0, 4)
+    assert batched_distances(pd.Series([[None, "a"], []]), pd.Series([[None], []]), (1.5,)).tolist() == [[1.0], [0.0]]
+
+
+def test_distance_of_5000_tokens_is_whole(spark):
+    rnd = random.Random(7)
+    a = [str(rnd.randint(0, 300)) for _ in range(5000)]
+    b = [x for k, x in enumerate(a) if k % 10]
+    df = spark.createDataFrame([(a, b), (a, None), ([], ["x"])], "a array<string>, b array<string>")
+    got = [tuple(r.d or ()) for r in df.select(word_edit_distances("a", "b").alias("d")).collect()]
+    assert got == [(500.0, 500.0, 500.0), (None, None, None), (1.0, 1.0, 1.0)]
+
+
+def test_batched_sari_of_mixed_lengths():
+    s, c, r = _ragged(300, 3), _ragged(300, 4), _ragged(300, 5)
+    c[10], r[11] = s[10], s[11]
+    for x, y, z, got in zip(s, c, r, batched_sari(s, c, r)):
+        want = np.nan if x is None or y is None or z is None else sari_py(x, y, z)
+        np.testing.assert_allclose(got, want, atol=1e-9)
+    empty = pd.Series([[], []])
+    assert batched_sari(empty, empty, empty).tolist() == [100.0, 100.0] and not len(batched_sari(s[:0], c[:0], r[:0]))
+
+
 def test_sari_udf_and_expression_agree(spark):
     rnd = random.Random(3)
     rows = []
