@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pairlab.llm.storage import scratch_folder, stored
 
@@ -232,14 +233,15 @@ def read_records(uri: str) -> Iterator[bytes]:
 def read_packages(manifest: DataFrame, id_type: T.DataType) -> DataFrame:
     """The records of the packages in ``manifest``, one task a package at
     most: page_id, url, payload_bytes (of the full payload), payload_digest,
-    record_type, refers_to, payload (null for revisits). A response whose
-    payload does not have its digest is an error."""
+    record_type, refers_to, payload (null for revisits). Ids may be of any
+    integer type or strings. A response whose payload does not have its digest
+    is an error."""
     schema = T.StructType([
         T.StructField("page_id", id_type), T.StructField("url", T.StringType()),
         T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
         T.StructField("record_type", T.StringType()), T.StructField("refers_to", id_type),
         T.StructField("payload", T.BinaryType())])
-    id_arrow = pa.int64() if isinstance(id_type, T.LongType) else None
+    id_arrow = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list[tuple]) -> pa.RecordBatch:
