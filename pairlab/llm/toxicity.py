@@ -14,6 +14,7 @@ whole text in one pass, without a shuffle."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,11 +35,9 @@ SAMPLE_DOCS = 10_000
 FEATURES, MIN_DOCS, MIN_SURETY = 600, 5, 3.0
 #: Characters of a word beginning, and numbers of occurrences that are features.
 BEGINNINGS, TIMES = (4, 5, 6), (1, 2, 4)
-#: Sentences that are paired with counterfactuals, at most.
-PAIRS = 20_000
 #: Weights of the ridge and of the squared score changes, rounds of the fit.
 RIDGE, FAIRNESS, ROUNDS = 2e-4, 1.0, 600
-#: Identity terms by group kind (fixed values); terms of one line are swapped.
+#: Identity terms by group kind (fixed values); terms of one line are swapped. Another table is an argument of ``fit``.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -120,10 +119,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str,
     return rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("text", "toxic")
 
 
-def sample_rows(sample: DataFrame) -> DataFrame:
+def sample_rows(sample: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> DataFrame:
     """One row for each distinct text of the sample: toxic, half, features,
-    and the features that each counterfactual sentence loses and gains. A text
-    and what begins like it are in one half."""
+    and the features that each counterfactual sentence (a term of ``terms``
+    swapped) loses and gains. A text and what begins like it are in one half."""
     changed = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("gone", "new")])
     schema = T.StructType([T.StructField("digest", T.LongType()), T.StructField("half", T.IntegerType()),
                            T.StructField("toxic", T.IntegerType()),
@@ -133,7 +132,7 @@ def sample_rows(sample: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int32(), pa.int32(), strings, pa.list_(pa.struct([("gone", strings), ("new", strings)]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = swaps()
+        other = swaps(terms)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part, rows = b.slice(at, 200), []
@@ -180,23 +179,60 @@ def choose_features(rows: DataFrame) -> list[str]:
     return [r.feature for r in found]
 
 
+def change_products(rows: DataFrame, features: list[str]) -> np.ndarray:
+    """Mean of change x change over all counterfactual pairs that gain (1) or
+    lose (-1) some of ``features``; zero without such pairs. The products are
+    summed in the tasks and then by cell in Spark, so every pair counts and the
+    driver gets one number a cell of the matrix."""
+    place = {f: k for k, f in enumerate(features)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, pairs = np.zeros((len(place), len(place))), 0
+        for b in batches:
+            for changes in b.column(0):
+                for pair in changes or ():
+                    moved = {place[f.as_py()]: sign for side, sign in (("gone", -1.0), ("new", 1.0))
+                             for f in pair[side].values if f.as_py() in place}
+                    if moved:
+                        at, signs = list(moved), np.array(list(moved.values()))
+                        sums[np.ix_(at, at)] += np.outer(signs, signs)
+                        pairs += 1
+        if pairs:
+            a, b = np.nonzero(sums)
+            columns = [np.append(a, -1), np.append(b, -1), np.append(sums[a, b], float(pairs))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "total"])
+
+    mean = np.zeros((len(place), len(place)))
+    pairs = 1.0
+    if place:
+        for r in (rows.where(F.size("changes") > 0).select("changes").mapInArrow(run, "a long, b long, total double")
+                  .groupBy("a", "b").agg(F.sum("total").alias("total")).collect()):
+            if r.a < 0:
+                pairs = r.total
+            else:
+                mean[r.a, r.b] = r.total
+    return mean / pairs
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, changes: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS,
                 rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on mean log loss + ridge |w|^2
-    + fairness * mean (w . change)^2; changes are features gained or lost."""
+    + fairness * mean (w . change)^2, ``changes`` being the mean of change x change."""
     n, k = x.shape
     full = np.concatenate([x, np.ones((n, 1), x.dtype)], 1)
     reach = np.linalg.norm(full.T @ full / n, 2) / 4 + 2 * ridge
-    if len(changes):
-        reach += 2 * fairness * np.linalg.norm(changes.T @ changes / len(changes), 2)
+    changes = 2 * fairness * changes
+    some = changes.any()
+    if some:
+        reach += np.linalg.norm(changes, 2)
     w = step = np.zeros(k + 1)
     w[k] = step[k] = 0.0
     for t in range(rounds):
         p = 1.0 / (1.0 + np.exp(-(full @ step)))
         gradient = full.T @ (p - y) / n
         gradient[:k] += 2 * ridge * step[:k]
-        if len(changes):
-            gradient[:k] += 2 * fairness * (changes.T @ (changes @ step[:k])) / len(changes)
+        if some:
+            gradient[:k] += changes @ step[:k]
         new = step - gradient / reach
         step = new + t / (t + 3) * (new - w)
         w = new
@@ -204,32 +240,29 @@ def fit_weights(x: np.ndarray, y: np.ndarray, changes: np.ndarray, ridge: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        most: int = SAMPLE_DOCS, fairness: float = FAIRNESS) -> Classifier:
+        most: int = SAMPLE_DOCS, fairness: float = FAIRNESS,
+        terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Classifier:
     """A classifier from the labelled rows that are not held out (about
-    ``most`` of them). Without labelled rows every score is 0; with one label only, its
-    smoothed share is everyone's score."""
-    rows = stored(sample_rows(labelled_sample(docs, labels, most, id_col, text_col)), "toxicity-sample")
-    if rows.isEmpty():
-        return Classifier({}, -50.0)
+    ``most`` of them); ``terms`` is the table of identity terms that are
+    swapped. Without labelled rows every score is 0; with one label only it is
+    that label's smoothed share, (toxic texts + 1) / (texts + 2)."""
+    rows = stored(sample_rows(labelled_sample(docs, labels, most, id_col, text_col), terms), "toxicity-sample")
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("p")).first()
+    if not total.n:
+        return Classifier({}, float("-inf"))
+    if total.p in (0, total.n):
+        return Classifier({}, math.log((total.p + 1) / (total.n - total.p + 1)))
     features = choose_features(rows)
     chosen = F.broadcast(rows.sparkSession.createDataFrame([(f,) for f in features], "feature string"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    used = (rows.select("row", F.explode("features").alias("feature")).join(chosen, "feature")
+    numbered = rows.select("toxic", "features", F.monotonically_increasing_id().alias("row"))
+    used = (numbered.select("row", F.explode("features").alias("feature")).join(chosen, "feature")
             .groupBy("row").agg(F.collect_list("feature").alias("used")))
-    found = rows.select("row", "toxic", "changes").join(used, "row", "left").orderBy("row").collect()
+    found = numbered.select("row", "toxic").join(used, "row", "left").orderBy("row").collect()
     place = {f: k for k, f in enumerate(features)}
     x, y = np.zeros((len(found), len(features)), np.float32), np.array([r.toxic for r in found], float)
-    changes = []
     for row, r in enumerate(found):
         x[row, [place[f] for f in r.used or ()]] = 1.0
-        for pair in r.changes:
-            change = np.zeros(len(features), np.float32)
-            change[[place[f] for f in pair.gone if f in place]] = -1.0
-            change[[place[f] for f in pair.new if f in place]] = 1.0
-            if change.any() and len(changes) < PAIRS:
-                changes.append(change)
-    weights, bias = fit_weights(x, y, np.array(changes, np.float32).reshape(len(changes), len(features)),
-                                fairness=fairness)
+    weights, bias = fit_weights(x, y, change_products(rows, features), fairness=fairness)
     return Classifier({f: float(v) for f, v in zip(features, weights, strict=True) if v}, bias)
 
 

@@ -262,6 +262,17 @@ def test_warc_round_trip(spark):
     assert empty.collect() == []
 
 
+def test_warc_ids_of_other_types(spark):
+    for kind, ids in (("int", [3, 1, 2]), ("string", ["c", "a", "b"]), ("smallint", [3, 1, 2]), ("bigint", [3, 1, 2])):
+        for texts in (["x", "y", "z"], ["x", "x", "z"]):   # refers_to all null; one revisit
+            pages = spark.createDataFrame([(i, None, t) for i, t in zip(ids, texts)], f"page_id {kind}, url string, html string")
+            got = {r.page_id: r for r in warc_zip.read_packages(
+                warc_zip.archive_pages(spark, pages), pages.schema["page_id"].dataType).collect()}
+            assert sorted(got) == sorted(ids)
+            assert got[ids[0]].refers_to == (ids[1] if texts[0] == texts[1] else None)
+
+
+
 def test_zip64_directory():
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
@@ -485,8 +496,44 @@ def test_toxicity_learns_and_handles_awkward_rows(spark, odd, nothing):
     assert toxicity.score_documents(odd, fair).count() == len(ODD)
     assert toxicity.with_scores(odd, fair).columns == [*odd.columns, "toxic_score"]
     assert toxicity.score_documents(nothing, fair).count() == 0
-    assert toxicity.fit(nothing, marks).score("idiot") < 0.01
-    assert toxicity.fit(docs, marks.limit(0)).score(None) < 0.01
+    assert toxicity.fit(nothing, marks).score("idiot") == 0
+    assert toxicity.fit(docs, marks.limit(0)).score(None) == 0
+    seen = marks.where(~toxicity.held_out(marks["doc_id"])).join(docs, "doc_id")
+    n = seen.select("text").distinct().count()
+    for label, share in ((0, 1 / (n + 2)), (1, (n + 1) / (n + 2))):
+        one = toxicity.fit(docs, marks.select("doc_id", "quality", (marks["toxic"] * 0 + label).alias("toxic")))
+        assert abs(one.score("idiot") - share) < 1e-12 and one.score(None) == one.score("idiot")
+
+
+def test_penalty_spares_neutral_mentions(spark):
+    """Toxic texts name one group, civil ones the other: without the penalty neutral mentions of the first are rejected."""
+    rng = np.random.default_rng(5)
+    base = [f"word{k}" for k in "abcdefghijklmnopqrstuvwxyz"]
+    rows, labels = [], []
+    for i in range(1000):
+        toxic = i % 2 == 0
+        insult = "idiot" if toxic and rng.random() < 0.8 else "nice"
+        group = "zorgs" if (rng.random() < 0.95) == toxic else "blims"
+        rows.append((i, f"{' '.join(rng.choice(base, 10))}. these {group} are {insult} again."))
+        labels.append((i, 0, int(toxic)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    neutral = [f"{' '.join(rng.choice(base, 10))}. these zorgs are nice again." for _ in range(200)]
+    toxic = [t.replace("zorgs", "blims").replace("nice", "idiot") for t in neutral]
+    terms = (("zorgs", "blims"),)
+    fair, plain, other = (toxicity.fit(docs, marks, fairness=f, terms=t)
+                          for f, t in ((5.0, terms), (0.0, terms), (5.0, (("absent", "missing"),))))
+    wrong = [sum(m.score(t) >= 0.5 for t in neutral) for m in (fair, plain, other)]
+    assert wrong[0] <= 20 < 100 < wrong[1] and wrong[2] == wrong[1]
+    assert sum(fair.score(t) >= 0.5 for t in toxic) >= 180
+
+
+def test_change_products_count_every_pair(spark):
+    rows = spark.createDataFrame([([(["a"], ["b"]), (["a", "x"], [])],), ([(["x"], ["y"])],), ([],)] * 50,
+                                 "changes array<struct<gone: array<string>, new: array<string>>>").repartition(7)
+    # per repetition (a, b) = (-1, 1) and (-1, 0); the pair without either does not count
+    assert toxicity.change_products(rows, ["a", "b"]).tolist() == [[1.0, -0.5], [-0.5, 0.5]]
+    assert not toxicity.change_products(rows, ["c"]).any() and toxicity.change_products(rows, []).shape == (0, 0)
 
 
 def test_counterfactual_pairs():
