@@ -15,6 +15,7 @@ from pairlab.functions.sari import with_sari
 from pairlab.functions.ter import ter
 from pairlab.functions.text import lexical_overlap
 from pairlab.operators.prep import gain
+from pairlab.operators.sampling import rows_at
 
 ID = "original_sentence_idx"
 ROW_STRIDE = 11                 # gid = id * 11 + variant (0..9), originals use variant 10
@@ -30,20 +31,27 @@ def gating_inputs(pairs: DataFrame, delta_filter: float = 0.05, delta_label: flo
     are the original and every other valid simplification; gap = score - gold,
     label = gap > delta_label. Ids without a valid simplification are dropped.
 
-    One aggregation per id computes the gold (min_by over a struct key, partial
-    aggregation so hot ids do not pile up) and is joined back on id.
+    The first and the gold row of an id come from hash aggregates over its
+    numbers; their texts are fetched by one join on (id, row), then every input
+    meets its gold on id. ``variant_col`` identifies a row of its id.
     """
-    valid = pairs.where(gain() > F.lit(delta_filter))
-    gold = valid.groupBy(ID).agg(
-        F.min_by(F.struct(F.col("simplification").alias("gold_text"), F.col("simplification_all").alias("gold_score"),
-                          F.col(variant_col).alias("gold_idx")),
-                 F.struct("simplification_all", variant_col)).alias("g")).select(ID, "g.*")
-    firsts = pairs.groupBy(ID).agg(F.min_by(F.struct("original_text", "original_all"), F.col(variant_col)).alias("o"))
-    originals = firsts.select(ID, (F.col(ID) * ROW_STRIDE + 10).alias("gid"),
-                              F.col("o.original_text").alias("input_text"), F.col("o.original_all").alias("input_score"))
-    others = valid.select(ID, (F.col(ID) * ROW_STRIDE + F.col(variant_col) % 10).alias("gid"),
-                          F.col("simplification").alias("input_text"), F.col("simplification_all").alias("input_score"),
-                          F.col(variant_col).alias("_v"))
+    score = F.when(gain() > F.lit(delta_filter), F.col("simplification_all"))   # null: not a valid simplification
+    least = pairs.select(ID, variant_col, score.alias("_s")).groupBy(ID, "_s").agg(F.min(variant_col).alias("_v"))
+    best = least.groupBy(ID).agg(F.min("_v").alias("_first"), F.min_by("_v", "_s").alias("_gold"))
+    roles = best.where(F.col("_gold").isNotNull()).select(ID, F.inline(F.array(
+        F.struct(F.col("_first").alias(variant_col), F.lit(True).alias("_is_first")),
+        F.struct(F.col("_gold").alias(variant_col), F.lit(False).alias("_is_first")))))
+    chosen = rows_at(pairs, roles, [ID, variant_col]).select(
+        ID, F.col(variant_col).alias("_v"), "_is_first",
+        F.when(F.col("_is_first"), F.col("original_text")).otherwise(F.col("simplification")).alias("_text"),
+        F.when(F.col("_is_first"), F.col("original_all")).otherwise(F.col("simplification_all")).alias("_score"))
+    gold = chosen.where(~F.col("_is_first")).select(ID, F.col("_text").alias("gold_text"),
+                                                    F.col("_score").alias("gold_score"), F.col("_v").alias("gold_idx"))
+    originals = chosen.where("_is_first").select(ID, (F.col(ID) * ROW_STRIDE + 10).alias("gid"),
+                                                 F.col("_text").alias("input_text"), F.col("_score").alias("input_score"))
+    others = pairs.where(score.isNotNull()).select(
+        ID, (F.col(ID) * ROW_STRIDE + F.col(variant_col) % 10).alias("gid"), F.col("simplification").alias("input_text"),
+        F.col("simplification_all").alias("input_score"), F.col(variant_col).alias("_v"))
     inputs = originals.unionByName(others, allowMissingColumns=True)
     x = inputs.join(gold, ID).where(F.col("_v").isNull() | (F.col("_v") != F.col("gold_idx"))).drop("_v", "gold_idx")
     gap = F.col("input_score") - F.col("gold_score")

@@ -8,6 +8,8 @@ window partitioned by bucket numbers keys inside their bucket.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +65,36 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, key: str, size_bound: int | Non
     return df.join(ids, key, "left_semi")
 
 
+def rows_at(df: DataFrame, winners: DataFrame, keys: list[str], size_bound: int | None = None,
+            broadcast_limit: int = 2_000_000) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` (the group, then the row key) are in the
+    narrow table ``winners``, with its further columns. Joined on the row key
+    too, so the rows of a hot group spread over all tasks. Null groups match each
+    other. ``winners`` is broadcast only when its size is bounded."""
+    w = winners.withColumnsRenamed({k: f"_w{i}" for i, k in enumerate(keys)})
+    if size_bound is not None and size_bound <= broadcast_limit:
+        w = F.broadcast(w)
+    same = [F.col(k).eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)]
+    return df.join(w, same, "inner").drop(*[f"_w{i}" for i in range(len(keys))])
+
+
 def first_per_group(df: DataFrame, group: str, order: str) -> DataFrame:
-    """First row per group by ``order`` (drop_duplicates keeping the first).
+    """First row per group by ``order`` (drop_duplicates keeping the first);
+    ``order`` identifies a row within its group (equal values all stay), and a
+    group without any value of it has no first row.
+
+    The minimum comes from a hash aggregate over the two narrow columns with
+    partial (map-side) sums; the other columns are joined afterwards."""
+    winners = df.groupBy(group).agg(F.min(order).alias(order)).where(F.col(order).isNotNull())
+    return rows_at(df, winners, [group, order])
+
 
-    A hash aggregate with partial (map-side) min_by, so a hot group never lands
-    whole in one task."""
-    others = [c for c in df.columns if c != group]
-    agg = df.groupBy(group).agg(F.min_by(F.struct(*others), F.col(order)).alias("_r"))
-    return agg.select(group, "_r.*")
+def random_key(seed: str, key: str) -> Column:
+    """(md5_order(seed:key), key) of an integer key as one decimal number of 38
+    digits: the same order as the pair, but a fixed width, so that ``min`` and
+    ``min_by`` over it stay hash aggregates."""
+    whole = "decimal(20,0)"
+    return _ord_key(seed, key).cast(whole) * F.lit(Decimal(2 ** 64)).cast(whole) + F.col(key).cast(whole)
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
@@ -93,8 +117,8 @@ def cap_per_group(df: DataFrame, group: str, row_key: str, k: int, seed: str = "
     """At most k random rows per group (random = md5(seed:row_key) order)."""
     o = _ord_key(seed, row_key)
     if k == 1:
-        return first_per_group(df.withColumn("_o", F.struct(o.alias("h"), F.col(row_key).alias("k"))),
-                               group, "_o").drop("_o")
+        least = df.select(group, row_key, o.alias("_h")).groupBy(group, "_h").agg(F.min(row_key).alias(row_key))
+        return rows_at(df, least.groupBy(group).agg(F.min_by(row_key, "_h").alias(row_key)), [group, row_key])
     return top_k_per_group(df, [group], [o, F.col(row_key)], k)
 
 

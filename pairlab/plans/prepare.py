@@ -1,13 +1,15 @@
 """L1: leakage-free labelled sentence table from a raw pair table.
 
 sample ids (E3) -> semi join (C1) -> gain filter (B4) -> per id, in ONE hash
-aggregation: the original (E1, first row by idx) and k=1 random simplification
-(E2, md5 order) -> clean (B5-B7) -> exact group split on the per-id table
-(E4) -> melt to one row per sentence (B2/F1) by exploding a 2-element array.
+aggregation over narrow columns: the row of the original (E1, first by idx) and
+of k=1 random simplification (E2, md5 order) -> the texts of these rows by a
+join on (id, idx) (B2/F1) -> clean (B5-B7) -> exact group split on the per-id
+table (E4).
 
-Shuffles: distinct ids + their hash-range rank (E3), the per-id aggregation,
-the per-id rank (E4). The split is assigned before melting, so no join back is
-needed and train/val/test can never share an id.
+Shuffles: distinct ids + their hash-range rank (E3), the per-id aggregation of
+numbers, the join that fetches the texts (none with ``n_sample``: the chosen
+rows are at most two an id and are broadcast), the per-id rank (E4).
+Train/val/test can never share an id.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ ID = "original_sentence_idx"
 def prepare_sentences(pairs: DataFrame, n_sample: int | None = None, delta: float = 0.05, k: int = 1,
                       seed: str = "42", with_features: bool = False, persist: bool = False) -> DataFrame:
     """Returns original_sentence_idx, text, score (float), is_original, split [, features].
+    ``idx`` is an integer and identifies a row of its id.
     With ``n_sample`` only so many ids (md5 order) take part; else all do."""
     p = pairs
     if n_sample is not None:
@@ -35,16 +38,19 @@ def prepare_sentences(pairs: DataFrame, n_sample: int | None = None, delta: floa
     feats = prep.shared_features(p) if with_features else []
     if k != 1:
         return _prepare_general(p, k, seed, feats)
-    o_fields = [F.col("original_text").alias("text"), F.col("original_all").alias("score")] + \
-        [F.col(f"{f}_original").alias(f) for f in feats]
-    s_fields = [F.col("simplification").alias("text"), F.col("simplification_all").alias("score")] + \
-        [F.col(f"{f}_simplification").alias(f) for f in feats]
-    per_id = p.groupBy(ID).agg(
-        F.min_by(F.struct(*o_fields), F.col("idx")).alias("o"),
-        F.min_by(F.struct(*s_fields), F.struct(md5_order(seed, ":", F.col("idx")), F.col("idx"))).alias("s"))
-    long = per_id.select(ID, F.explode(F.array(
-        F.struct(F.lit(True).alias("is_original"), F.col("o.*")),
-        F.struct(F.lit(False).alias("is_original"), F.col("s.*")))).alias("r")).select(ID, "r.*")
+    chosen = p.select(ID, "idx", sampling.random_key(seed, "idx").alias("_r")).groupBy(ID).agg(
+        F.min("idx").alias("o"), F.min_by("idx", "_r").alias("s"))
+    sides = chosen.select(ID, F.inline(F.array(
+        F.struct(F.col("o").alias("idx"), F.lit(True).alias("is_original")),
+        F.struct(F.col("s").alias("idx"), F.lit(False).alias("is_original")))))
+    rows = sampling.rows_at(p, sides, [ID, "idx"], size_bound=None if n_sample is None else 2 * n_sample)
+
+    def side(original: str, simplified: str, name: str):
+        return F.when(F.col("is_original"), F.col(original)).otherwise(F.col(simplified)).alias(name)
+
+    long = rows.select(ID, "is_original", side("original_text", "simplification", "text"),
+                       side("original_all", "simplification_all", "score"),
+                       *[side(f"{f}_original", f"{f}_simplification", f) for f in feats])
     return _finish(long, feats, persist)
 
 
