@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,15 +67,17 @@ def resumable_generate(inputs: DataFrame, out_dir: str, run_id: str, factory: Ca
     interruption (used by tests and the demo query)."""
     spark = inputs.sparkSession
     todo = inputs.join(finished_ids(spark, out_dir).withColumnRenamed("id", id_col), id_col, "left_anti")   # C6
-    chunk = md5_bucket(F.col(id_col), mod=n_chunks)
+    todo = todo.withColumn("_chunk", md5_bucket(F.col(id_col), mod=n_chunks)).persist(StorageLevel.MEMORY_AND_DISK)
     written = 0
-    for c in range(n_chunks):
-        if stop_after_chunks is not None and written >= stop_after_chunks:
-            break
-        part = todo.where(chunk == c)
-        out = generate(part, factory, id_col, text_col, batch_size)
-        out.withColumn("chunk", F.lit(c)).write.mode("append").parquet(f"{out_dir}/run={run_id}")
-        written += 1
+    try:   # one scan and one anti-join for all chunks
+        for c in range(n_chunks):
+            if stop_after_chunks is not None and written >= stop_after_chunks:
+                break
+            out = generate(todo.where(F.col("_chunk") == c), factory, id_col, text_col, batch_size)
+            out.withColumn("chunk", F.lit(c)).write.mode("append").parquet(f"{out_dir}/run={run_id}")
+            written += 1
+    finally:
+        todo.unpersist()
     return written
 
 
