@@ -219,7 +219,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, changes: np.ndarray, ridge: float
     """Accelerated gradient descent on mean log loss + ridge |w|^2
     + fairness * mean (w . change)^2, ``changes`` being the mean of change x change."""
     n, k = x.shape
-    full = np.concatenate([x, np.ones((n, 1), x.dtype)], 1)
+    full = np.concatenate([x, np.ones((n, 1))], 1).astype(float)   # one type: no copy of the matrix a round
     reach = np.linalg.norm(full.T @ full / n, 2) / 4 + 2 * ridge
     changes = 2 * fairness * changes
     some = changes.any()
