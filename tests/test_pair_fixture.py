@@ -1,6 +1,9 @@
 """The pair table: variants derived for a batch at once, rows looked up by key,
 nothing kept, and the texts cut into tokens once."""
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from pairlab.catalog.prep_q import pair_rows, pairs_table
@@ -89,3 +92,18 @@ def test_rows_beyond_the_cap_go_before_the_shuffle(spark):
     assert sorted(r["k"] for r in top.collect()) == [*range(2987, 3000)]
     salted = sampling.top_k_per_group(df, ["g"], [F.desc("k")], 3, salt=F.col("k") % 4)
     assert rows(salted) == rows(top)
+
+
+def test_digests_of_a_batch_are_those_of_each_token():
+    keys, sizes = [b"1000001", None, b"", b"5128200000123", b"-7"], np.array([3, 2, 0, 130, 1])
+    for k in (keys, [*keys[:-1], b"9" * 70]):                  # the last needs a second block
+        want = [b"\xff" * 32 if key is None else hashlib.md5(b"a:%s:%d" % (key, i)).digest() + hashlib.md5(b"b:%s:%d" % (key, i)).digest()
+                for key, n in zip(k, sizes) for i in range(n)]
+        assert [bytes(x) for x in fixtures._token_digests(k, sizes)] == want
+
+
+def test_chosen_variants_come_without_a_lambda_over_tokens(spark, tmp_path):
+    d = documents(spark, tmp_path)
+    keys = spark.range(3).select((F.col("id") * 1_000_000).alias(ID), (F.col("id") * 10_000_000 + 4).alias("idx"))
+    for found in (plan(fixtures.pair_rows_at(spark, d, keys, True)), plan(fixtures.pair_numbers(spark, d))):
+        assert "zip_with" not in found and "array_distinct" not in found and found.count("regexp_extract_all") == 1
