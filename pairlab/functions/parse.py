@@ -88,14 +88,19 @@ def _to_last_balance(text: Column) -> Column:
     return _let(ends["last"], lambda e: F.when(e > 0, F.substring(text, F.lit(1), e)).otherwise(text))
 
 
-def _json_text(blob: Column) -> Column:
-    """The first form of the blob that is a JSON object: as it stands, then mended."""
+def _json_object(blob: Column) -> Column:
+    """struct<text, entries> of the first form of the blob that is a JSON object: as it
+    stands, then mended. No mending gives a text another beginning, so one that does
+    not begin with a brace has no such form; forms equal to an earlier one are passed over."""
+    def form(text: Column) -> Column:
+        return _let(text, lambda t: _let(_object(t, "map<string,string>"), lambda m: F.when(
+            m.isNotNull(), F.struct(t.alias("text"), F.map_entries(m).alias("entries")))))
+
     def first(b: Column, quoted: Column) -> Column:
-        forms = [b, quoted, F.regexp_replace(b, SPURIOUS_END, "}"), F.regexp_replace(quoted, SPURIOUS_END, "}"),
-                 _to_last_balance(b), _to_last_balance(quoted)]
-        return F.coalesce(*[F.when(_object(f, "map<string,string>").isNotNull(), f) for f in forms])
+        mend = (lambda t: t, lambda t: F.regexp_replace(t, SPURIOUS_END, "}"), _to_last_balance)
+        return F.coalesce(*[x for m in mend for x in (form(m(b)), F.when(quoted != b, form(m(quoted))))])
 
-    return _let(blob, lambda b: _let(F.regexp_replace(b, SINGLE_QUOTED, '"$1"'), lambda q: first(b, q)))
+    return _let(blob, lambda b: F.when(b.startswith("{"), _let(F.regexp_replace(b, SINGLE_QUOTED, '"$1"'), lambda q: first(b, q))))
 
 
 def _list_items(text: Column) -> Column:
@@ -115,8 +120,8 @@ def _last_value(entries: Column, key: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
 
 
-def _parsed_json(text: Column, n: Column) -> Column:
-    """struct<ok, complex, motivi> of a JSON object's text."""
+def _parsed_json(found: Column, n: Column) -> Column:
+    """struct<ok, complex, motivi> of a JSON object (see ``_json_object``)."""
     def read(entries: Column, items: Column) -> Column:
         listed = F.forall(items, lambda x: F.coalesce(
             _is_integer(x) | ((F.schema_of_variant(x) == "STRING") & _item_text(x).rlike(INT_LIKE)), F.lit(False)))
@@ -129,40 +134,48 @@ def _parsed_json(text: Column, n: Column) -> Column:
                         F.when(missing, F.array().cast("array<bigint>")).otherwise(indices).alias("complex"),
                         F.coalesce(given, F.create_map().cast("map<string,string>")).alias("motivi"))
 
-    return _let(text, lambda t: _let(F.map_entries(_object(t, "map<string,string>")),
-                                     lambda e: _let(_list_items(t), lambda items: read(e, items))))
+    return _let(found, lambda o: _let(_list_items(o["text"]), lambda items: read(o["entries"], items)))
 
 
-def extract_annotation(raw, n) -> Column:
-    """struct<complex array<bigint>, motivi map<string,string>, status string>."""
-    raw, n = _c(raw), _c(n)
-    blob = isolate_blob(raw)
-    parsed = _parsed_json(_json_text(blob), n)
-
-    # regex fallback
+def _parsed_by_rules(blob: Column, n: Column) -> Column:
+    """struct<complex, motivi, found> of the regex path."""
     region = F.when(blob.rlike(COMPLEX_LIST), F.regexp_extract(blob, COMPLEX_LIST, 1)).otherwise(blob)
     rx_idx = _in_range(_ints(F.regexp_extract_all(region, F.lit(INTEGER), 0)), n)
     m_region = F.when(blob.rlike(REASONS_REGION), F.regexp_extract(blob, REASONS_REGION, 1)).otherwise(F.lit(""))
-    keys = F.regexp_extract_all(m_region, F.lit(REASON_PAIR), 1)
-    vals = F.transform(F.regexp_extract_all(m_region, F.lit(REASON_PAIR), 3),
-                       lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), vals.alias("v")),
-                     lambda e: (e["k"].try_cast("bigint") >= 0) & (e["k"].try_cast("bigint") < n))
-    rx_motivi = last_wins_map(F.transform(pairs, lambda e: e["k"]), F.transform(pairs, lambda e: e["v"]))
-    rx_complex = _in_range(F.array_union(rx_idx, _ints(F.map_keys(rx_motivi))), n)
-    found = (F.size(rx_idx) > 0) | (F.size(rx_motivi) > 0)
 
+    def reasons(region: Column) -> Column:
+        keys = F.regexp_extract_all(region, F.lit(REASON_PAIR), 1)
+        vals = F.transform(F.regexp_extract_all(region, F.lit(REASON_PAIR), 3),
+                           lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+        return F.filter(F.arrays_zip(keys.alias("k"), vals.alias("v")),
+                        lambda e: (e["k"].try_cast("bigint") >= 0) & (e["k"].try_cast("bigint") < n))
+
+    rx_motivi = _let(_let(m_region, reasons), lambda pairs: last_wins_map(
+        F.transform(pairs, lambda e: e["k"]), F.transform(pairs, lambda e: e["v"])))
+    return _let(rx_idx, lambda found: _let(rx_motivi, lambda m: F.struct(
+        _in_range(F.array_union(found, _ints(F.map_keys(m))), n).alias("complex"), m.alias("motivi"),
+        ((F.size(found) > 0) | (F.size(m) > 0)).alias("found"))))
+
+
+def extract_annotation(raw, n) -> Column:
+    """struct<complex array<bigint>, motivi map<string,string>, status string>."""
+    raw, n = _c(raw), _c(n)
     empty = raw.isNull() | raw.rlike(r"^\s*$")
+    nothing = (F.lit(None).cast("array<bigint>"), F.lit(None).cast("map<string,string>"))
+
+    def result(status: str, complex_: Column, motivi: Column) -> Column:
+        return F.struct(complex_.alias("complex"), motivi.alias("motivi"), F.lit(status).alias("status"))
+
+    # each path is worked out once, the second only where the first found no annotation
+    def by_rules(blob: Column) -> Column:
+        return _let(_parsed_by_rules(blob, n), lambda x: F.when(
+            x["found"], result("recovered_regex", x["complex"], x["motivi"])).otherwise(result("unparsable", *nothing)))
 
-    def result(json: Column) -> Column:
-        status = (F.when(empty, F.lit("empty")).when(json["ok"], F.lit("ok"))
-                  .when(found, F.lit("recovered_regex")).otherwise(F.lit("unparsable")))
-        return _let(status, lambda s: F.struct(
-            F.when(s == "ok", json["complex"]).when(s == "recovered_regex", rx_complex).alias("complex"),
-            F.when(s == "ok", json["motivi"]).when(s == "recovered_regex", rx_motivi).alias("motivi"),
-            s.alias("status")))
+    def parse(blob: Column) -> Column:
+        return _let(_parsed_json(_json_object(blob), n), lambda json: F.when(
+            json["ok"], result("ok", json["complex"], json["motivi"])).otherwise(by_rules(blob)))
 
-    return _let(parsed, result)
+    return F.when(empty, result("empty", *nothing)).otherwise(_let(isolate_blob(raw), parse))
 
 
 def strict_annotation(raw, n) -> Column:

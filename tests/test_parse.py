@@ -45,3 +45,10 @@ def test_strict_parser(spark):
     df = spark.createDataFrame(rows, "s string")
     got = [list(r[0]) for r in df.select(strict_annotation("s", F.lit(6))).collect()]
     assert got == [[2, 3], [], [2], [2], [], [1], [1], [], [], [], []]
+
+
+def test_each_path_is_worked_out_once(spark):
+    df = spark.createDataFrame([("Ecco: {'complex': [1, 9], 'motivi': {'2': 'x'}}}}", 5)], "r string, n int").select(
+        extract_annotation("r", "n").alias("a"))
+    found = df._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("regexp_extract_all") == 3
