@@ -107,3 +107,41 @@ def test_chosen_variants_come_without_a_lambda_over_tokens(spark, tmp_path):
     keys = spark.range(3).select((F.col("id") * 1_000_000).alias(ID), (F.col("id") * 10_000_000 + 4).alias("idx"))
     for found in (plan(fixtures.pair_rows_at(spark, d, keys, True)), plan(fixtures.pair_numbers(spark, d))):
         assert "zip_with" not in found and "array_distinct" not in found and found.count("regexp_extract_all") == 1
+
+
+def test_only_the_texts_of_the_wanted_splits_are_fetched(spark, tmp_path):
+    d = documents(spark, tmp_path)
+    lean, lookup, asked = fixtures.pair_numbers(spark, d), pair_rows(spark, d), []
+    every = prepare_sentences(lean, rows_of=lookup)
+
+    def watched(keys, small):
+        asked.append(keys)
+        return lookup(keys, small)
+
+    for splits in (("test",), ("train", "val")):
+        got = prepare_sentences(lean, rows_of=watched, splits=splits)
+        want = rows(every.where(F.col("split").isin(*splits)))
+        assert want and rows(got) == want
+        assert {r["split"] for r in asked[-1].select("split").distinct().collect()} == set(splits)
+        assert rows(prepare_sentences(fixtures.pair_table(spark, d), splits=splits)) == want
+
+
+def test_attributions_of_some_sentences(spark, tmp_path):
+    d = documents(spark, tmp_path)
+    every = fixtures.sentence_scores(spark, d)
+    tokens = fixtures.token_scores(spark, d).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", "attribution"))).alias("a"))
+    once = "sid >= 2000000"   # the sentences of document 1 come twice
+    assert rows(every.where(once).where("size(attributions) > 0")) == rows(tokens.where(once).select(
+        "sid", F.col("a.attribution").alias("attributions")))
+    ids = every.where("sid % 2 = 0").select("sid")
+    found = fixtures.sentence_scores(spark, d, ids)
+    assert ids.count() > 2 and rows(found) == rows(every.where("sid % 2 = 0"))
+    below = plan(found)
+    assert below.index("md5") < below.index("LeftSemi")   # worked out above the join, for the asked ones alone
+
+
+def test_leakage_prepares_once(spark, tmp_path, monkeypatch):
+    from pairlab.catalog import gating_q
+    d, made = documents(spark, tmp_path), []
+    monkeypatch.setattr(gating_q, "prepared", lambda *a, _of=gating_q.prepared: made.append(a) or _of(*a))
+    assert gating_q.c10_gating_leakage(spark, d).first()["n_shared"] == 0 and len(made) == 1
