@@ -62,8 +62,8 @@ def build_eval_set(pairs: DataFrame, silver: str = "set") -> DataFrame:
     x = x.withColumns({"lemmas": T.lemmas_of("tokens"), "simp_lemmas": T.lemmas_of("simp_tokens")})
     x = x.withColumns({"pos": F.transform("lemmas", pos_of), "dep": F.transform("lemmas", dep_of)})
     if silver == "set":
-        tipo = F.transform("lemmas", lambda l: F.when(F.array_contains("simp_lemmas", l), F.lit("keep"))
-                           .otherwise(F.lit("del")))
+        tipo = T.once("simp_lemmas", lambda there: F.transform("lemmas", lambda l: F.when(
+            F.array_contains(there, l), F.lit("keep")).otherwise(F.lit("del"))))
     elif silver in ("aligned", "guarded"):
         tipo = typed_silver("tokens", "lemmas", "simp_tokens", "simp_lemmas", guarded=silver == "guarded")
     else:
@@ -106,10 +106,14 @@ def lexicon_flags(eval_set: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def predict_lexicon(eval_set: DataFrame, lexicon: DataFrame, name: str = "lexicon") -> DataFrame:
-    """Content words whose lemma is not in the basic lexicon."""
-    t = lexicon_flags(eval_set, lexicon)
-    t = t.withColumn("p", (_in(F.col("pos"), CONTENT_POS) & ~F.col("in_lexicon")).cast("int"))
-    return regroup(t, "p", "pred").select("idx", F.lit(name).alias("method"), "pred")
+    """Content words whose lemma is not in the basic lexicon, a bounded word
+    list that every task holds; the choice is made inside the row. Sentences
+    without tokens have no prediction."""
+    words = lexicon.agg(F.collect_set("lemma").alias("_lexicon"))
+    x = eval_set.where(F.size("tokens") > 0).select("idx", "lemmas", "pos").crossJoin(F.broadcast(words))
+    pred = T.once(F.array_except("lemmas", "_lexicon"), lambda rare: F.transform(F.arrays_zip("lemmas", "pos"), lambda t: (
+        _in(t["pos"], CONTENT_POS) & F.array_contains(rare, t["lemmas"])).cast("int")))
+    return x.select("idx", F.lit(name).alias("method"), pred.alias("pred"))
 
 
 def predict_top_fraction(eval_set: DataFrame, scores: DataFrame, frac: float,
@@ -183,8 +187,10 @@ def sentence_scores(eval_set: DataFrame, preds: DataFrame, with_ter: bool = Fals
     Misaligned sentences are skipped (see ``alignment_report``)."""
     j = eval_set.join(preds, "idx")   # C5: by key, never by position
     j = j.where((F.size("tokens") == F.size("silver")) & (F.size("tokens") == F.size("pred")))
-    c = _confusion_arrays(F.col("silver"), F.col("pred"))
-    tp, fp, fn = c["tp"], c["fp"], c["fn"]
+    # counted once, each is used several times
+    j = j.select("idx", "method", "tokens", "simp_tokens", "pred", *[
+        x.alias(c) for c, x in _confusion_arrays(F.col("silver"), F.col("pred")).items()])
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     div = lambda a, b: F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
     kept = T.kept_tokens("tokens", "pred")
     out = j.select("idx", "method", div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"),
