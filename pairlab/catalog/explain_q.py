@@ -230,8 +230,9 @@ def d19_typed_evaluation(spark, sf_dir):
 def g6_aligned_silver_counts(spark, sf_dir):
     """G6 vs G7: token counts per operation type under plain and guarded alignment."""
     out = None
+    pairs = materialize(X.build_pairs(prepared(spark, sf_dir, splits=("test",), persist=False)))   # read by both modes
     for mode in ("aligned", "guarded"):
-        ev = eval_set(spark, sf_dir, mode, stored=False)
+        ev = X.build_eval_set(pairs, mode)
         t = ev.select(F.explode("tipo").alias("tipo")).groupBy("tipo").agg(F.count(F.lit(1)).cast("long").alias("n"))
         t = t.withColumn("mode", F.lit(mode))
         out = t if out is None else out.unionByName(t)
