@@ -26,6 +26,13 @@ from pairlab.operators import profile
 
 #: Models of one fold fitted at the same time.
 PARALLEL = 4
+#: Rows of one task of a fit, about. A fit runs a job an iteration, so small tables take few tasks.
+TASK_ROWS = 1_000_000
+
+
+def _in_few_tasks(df: DataFrame, rows: float) -> DataFrame:
+    """All rows in no more partitions than so many of them need and the cluster has cores for."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-int(rows) // TASK_ROWS)))
 
 
 @dataclass
@@ -136,8 +143,8 @@ def select_logistic(df: DataFrame, features: list[str], label: str, fold: str, g
     scores: list[list[float]] = [[] for _ in grid]
     for f in range(n_folds):
         stages = Pipeline(stages=prepared_by(s.medians[f], s.outside[f], features)).fit(df)
-        train = stages.transform(df.where(F.col(fold) != f)).select("features", label).persist()
-        held = stages.transform(df.where(F.col(fold) == f)).select("features", label).persist()
+        train = _in_few_tasks(stages.transform(df.where(F.col(fold) != f)).select("features", label), s.outside[f][0, 0]).persist()
+        held = _in_few_tasks(stages.transform(df.where(F.col(fold) == f)).select("features", label), s.inside[f][0, 0]).persist()
         with ThreadPool(PARALLEL) as pool:  # the small jobs of several C at once
             found = pool.map(lambda c: judge.evaluate(fitted(train, s.outside[f], c).transform(held)), grid)
         for k, auc in enumerate(found):
@@ -147,5 +154,5 @@ def select_logistic(df: DataFrame, features: list[str], label: str, fold: str, g
     means = [float(np.mean(x)) for x in scores]
     best = max(range(len(grid)), key=lambda k: (means[k], -k))
     stages = Pipeline(stages=prepared_by(s.medians[-1], s.outside[-1], features)).fit(df)
-    model = fitted(stages.transform(df), s.outside[-1], grid[best])
+    model = fitted(_in_few_tasks(stages.transform(df), s.outside[-1][0, 0]), s.outside[-1], grid[best])
     return PipelineModel(stages=[*stages.stages, model]), float(grid[best]), means
