@@ -115,3 +115,11 @@ def test_a_fit_takes_few_tasks(spark):
     few = selection._in_few_tasks(df, 1000)
     assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and few.count() == 1000
     assert selection._in_few_tasks(df, 40 * selection.TASK_ROWS).rdd.getNumPartitions() == 40
+
+
+def test_both_alignments_read_one_set_of_pairs(spark, tmp_path, monkeypatch):
+    from pairlab.catalog import explain_q
+    d, made = documents(spark, tmp_path), []
+    monkeypatch.setattr(explain_q, "prepared", lambda *a, _of=explain_q.prepared, **k: made.append(a) or _of(*a, **k))
+    counts = explain_q.g6_aligned_silver_counts(spark, d)
+    assert set(counts.columns) == {"tipo", "n", "mode"} and len(made) == 1
